@@ -76,7 +76,7 @@ def rules() -> dict[str, Column]:
         "length": vote(c["n_words"] >= 30, c["n_words"] < 10),
         "word_length": vote((c["word_chars"] >= 3 * c["n_words"]) & (c["word_chars"] <= 15 * c["n_words"]), (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 30 * c["n_words"])),
         "symbols": vote(100 * c["n_symbols"] <= c["word_chars"], 100 * c["n_symbols"] > 8 * c["word_chars"]),
-        "letters": vote(100 * c["n_other"] <= 10 * c["word_chars"], 100 * c["n_other"] > 20 * c["word_chars"]),
+        "letters": vote(100 * c["n_other"] <= 20 * c["word_chars"], 100 * c["n_other"] > 30 * c["word_chars"]),
         "lines": vote(c["n_dup_lines"] == 0, 10 * c["n_dup_lines"] > 3 * c["n_lines"]),
         "windows": vote(100 * c["n_repeat_words"] <= 5 * c["n_words"], 100 * c["n_repeat_words"] > 20 * c["n_words"]),
         "variety": vote(10 * c["n_distinct"] >= 3 * c["n_words"], (10 * c["n_distinct"] < c["n_words"]) & (c["n_words"] < 2000)),
@@ -162,7 +162,7 @@ v AS (
     CASE WHEN n_words < 10 THEN -1 WHEN n_words >= 30 THEN 1 ELSE 0 END AS vote_length,
     CASE WHEN word_chars < 2 * n_words OR word_chars > 30 * n_words THEN -1 WHEN word_chars >= 3 * n_words AND word_chars <= 15 * n_words THEN 1 ELSE 0 END AS vote_word_length,
     CASE WHEN 100 * n_symbols > 8 * word_chars THEN -1 WHEN 100 * n_symbols <= word_chars THEN 1 ELSE 0 END AS vote_symbols,
-    CASE WHEN 100 * n_other > 20 * word_chars THEN -1 WHEN 100 * n_other <= 10 * word_chars THEN 1 ELSE 0 END AS vote_letters,
+    CASE WHEN 100 * n_other > 30 * word_chars THEN -1 WHEN 100 * n_other <= 20 * word_chars THEN 1 ELSE 0 END AS vote_letters,
     CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN -1 WHEN n_dup_lines = 0 THEN 1 ELSE 0 END AS vote_lines,
     CASE WHEN 100 * n_repeat_words > 20 * n_words THEN -1 WHEN 100 * n_repeat_words <= 5 * n_words THEN 1 ELSE 0 END AS vote_windows,
     CASE WHEN 10 * n_distinct < n_words AND n_words < 2000 THEN -1 WHEN 10 * n_distinct >= 3 * n_words THEN 1 ELSE 0 END AS vote_variety
