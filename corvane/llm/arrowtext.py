@@ -124,3 +124,42 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
         value = sum(int(h) * pow(BASE, 2 * k + 1, 1 << 64) for k, h in enumerate(hashed[first[d] : first[d] + count[d]])) & MASK
         out[first[d]], whole[first[d]] = value, True
     return mix(out[whole]), doc[whole]
+
+
+def codepoints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' code points one after another, and where each text's begin (and the end). Bytes that aren't UTF-8 become U+FFFD."""
+    raw = data.tobytes()
+    try:
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        return points, before[offsets]
+    except UnicodeDecodeError:
+        texts = [raw[a:b].decode(errors="replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For code points below 2**16: whether it is a letter, and its lower case (itself where that isn't one code point)."""
+    chars = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(1 << 16)]
+    lower = np.array([ord(x.lower()) if len(x.lower()) == 1 else ord(x) for x in chars], np.uint32)
+    return np.array([x.isalpha() for x in chars]), lower
+
+
+def letter_words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of each run of letters, in lower case. Letters beyond 2**16 are taken as they are."""
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    is_letter, lower = letter_tables()
+    near = np.minimum(points, 0xFFFF)
+    inside = is_letter[near] | (points > 0xFFFF)
+    folded = np.where(points > 0xFFFF, points, lower[near])
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | cut[1:n]
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:] | cut[1:n]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return span_hashes(folded, starts, ends), np.searchsorted(offsets, starts, "right") - 1

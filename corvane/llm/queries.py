@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, planes, quality_rules, sharding
+from . import bpe, classifier, media, packing, planes, quality_rules, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", folds=5, held_out=0)
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.token_output(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -39,13 +43,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", folds=3, held_out=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_media_columns": op2_media_columns,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_token_output": op6_token_output,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle()}
