@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,22 +128,62 @@ class Encoder:
         return ids, ends
 
 
+#: Stops that follow a word.
+STOPS = ".,;:!?"
+#: Letters below this code point have the same class and case in every version of Unicode.
+PLAIN_LETTERS = "\u0250"
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level tokenizers write each byte as a letter: printable Latin-1 as it is, the others from U+0100 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
+
+
 @lru_cache(maxsize=4)
 def library_encoder(path: str, spaced: bool) -> Encoder:
-    """An Encoder that takes its ids from the tokenizers library, one for each file and worker."""
+    """An Encoder that takes its ids from the tokenizers library, one for each file and worker.
+
+    A word of plain letters, perhaps with a stop after it, is a piece (or two) of both kinds of
+    pre-tokenizer: the library's model takes it as it is. All else goes through the whole library.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
+    tokenize, letters, folds = library.model.tokenize, byte_letters(), library.normalizer is not None
+    known: dict[str, tuple[int, ...]] = {}
+
+    def model_ids(piece: str) -> tuple[int, ...]:
+        named = piece.replace(" ", letters[32]) if piece.isascii() else piece.encode().decode("latin1").translate(letters)
+        return tuple([t.id for t in tokenize(named)])
+
+    stops = {x: model_ids(x) for x in STOPS}
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[int] = []
-        counts = np.zeros(len(pieces), np.int64)
-        for k in range(0, len(pieces), 2000):
-            for i, x in enumerate(library.encode_batch_fast(pieces[k : k + 2000], add_special_tokens=False), k):
-                got = x.ids
-                counts[i] = len(got)
-                ids += got
-        return np.array(ids, np.int32), counts
+        if len(known) > REMEMBERED:
+            known.clear()
+        parts: list[tuple[int, ...]] = []
+        rest: list[int] = []
+        for i, piece in enumerate(pieces):
+            core, stop = (piece[:-1], stops[piece[-1]]) if piece[-1:] in stops else (piece, ())
+            if folds:
+                core = core.lower()
+            ids = known.get(core)
+            if ids is None:
+                word = core[1:] if spaced and core[:1] == " " else core
+                if word.isalpha() and (word.isascii() or max(word) < PLAIN_LETTERS):
+                    ids = known[core] = model_ids(core)
+                else:
+                    rest.append(i)
+                    ids = stop = ()
+            parts.append(ids + stop if stop else ids)
+        for k in range(0, len(rest), 2000):
+            own = rest[k : k + 2000]
+            for i, x in zip(own, library.encode_batch_fast([pieces[i] for i in own], add_special_tokens=False)):
+                parts[i] = tuple(x.ids)
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.fromiter(chain.from_iterable(parts), np.int32, int(counts.sum())), counts
 
     return Encoder(encode, spaced, [x.content for x in library.get_added_tokens_decoder().values()])
