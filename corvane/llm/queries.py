@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, media, neardup, packing, planes, quality_rules, sharding, toxicity
+from . import bpe, classifier, longrepeats, media, neardup, packing, planes, quality_rules, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.token_output(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longrepeats.remove_repeats(documents(spark, sf_dir), length=200)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_token_output": op6_token_output,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_minhash": op8_minhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_classifier": op10_quality_classifier,
