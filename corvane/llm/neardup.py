@@ -112,7 +112,6 @@ def signatures(shingle: np.ndarray, level: np.ndarray, doc: np.ndarray, texts: i
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     own, place = np.unique(level, return_inverse=True)
     base = place.astype(np.int64) * DRAWS
-    r, _, beta = _draws()
     tables = [_order(int(x)) for x in own]
     bands = np.zeros((len(first), BANDS), np.uint64)
     for k in range(BANDS * ROWS):
@@ -122,8 +121,7 @@ def signatures(shingle: np.ndarray, level: np.ndarray, doc: np.ndarray, texts: i
         draw = (x >> np.uint64(52)).astype(np.int64)
         ranked = np.concatenate([t[k] for t in tables])[base + draw].astype(np.uint64)
         least = np.minimum.reduceat((ranked << np.uint64(32)) | ((x >> np.uint64(20)) & np.uint64(0xFFFFFFFF)), first)
-        # the element that won, and its weight's step t
-        won = least & np.uint64(0xFFFFFFFF)
+        won = least & np.uint64(0xFFFFFFFF)  # the sampled shingle; its step t is left out, as in 0-bit consistent weighted sampling
         bands[:, k // ROWS] = mix(bands[:, k // ROWS] + won * np.uint64(BASE) + np.uint64(k + 1))
     out[doc[first]] = bands
     return out
@@ -172,6 +170,11 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("_key"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, class_id (least id of the row's class), n_links (other texts that its text is linked to).
 
@@ -181,9 +184,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class whose ids are all null has a null class_id. Every row gives one row, an empty table
     none; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("_key"))
-    frequency, n = frequencies(docs.select(F.col(text_col).alias("_text")))
+    rows, by_text = _classes(_keyed(docs, id_col, text_col))
+    return rows.join(by_text, "_key").select(F.col("_id").alias(id_col), F.col("first._id").alias("class_id"), "n_links")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each class: of the least id that isn't null, then of the least digest of its text; of repeated rows any one."""
+    key = F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
+    _, by_text = _classes(_keyed(docs, id_col, text_col))
+    kept = by_text.where(F.col("_key") == F.col("first._key")).select(F.col("_key").alias("_kept"), F.col("first._id").alias("_first"))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), key.alias("_key"))
+    return wide.join(kept, (F.col("_key") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["_key"]).select("_row.*")
+
+
+def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_id, _key) of all rows; and per text _key, its class's first row (struct of _id and _key) and its number of links."""
+    frequency, n = frequencies(keyed.select("_text"))
     rare = rarity(frequency, n)
     id_type = keyed.schema["_id"].dataType.simpleString()
 
@@ -221,6 +237,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labels = components(links).join(degree, "node")
     named = texts.select("_key", "least_id").join(labels, F.col("_key") == F.col("node"), "left").select("_key", "least_id", F.coalesce("label", "_key").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    classes = named.groupBy("label").agg(F.min("least_id").alias("class_id"))
-    by_text = named.join(classes, "label").select("_key", "class_id", "n_links")
-    return signed.select("_id", "_key").join(by_text, "_key").select(F.col("_id").alias(id_col), "class_id", "n_links")
+    classes = named.groupBy("label").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("_id"), "_key")).alias("first"))
+    return signed.select("_id", "_key"), named.join(classes, "label").select("_key", "first", "n_links")

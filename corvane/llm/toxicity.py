@@ -186,17 +186,9 @@ def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     return index, calibrate(votes, index.labels.astype(float), index.weights), float(none)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """id_col (or the columns ``carry``), held_out, score (probability of label 1), predicted, evidence (ids of the nearest examples, nearest first).
-
-    The index holds ``per_class`` labelled rows of each label at most, none of the held-out fold;
-    document frequencies are counted over all rows; every whole text is scored. A text without
-    a term of the index (also an empty or null one) gets the share of label 1 among such examples.
-    Without usable examples all scores are the labels' share. Every row gives one row, also null
-    and repeated ids; columns that aren't carried are ignored.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` as struct _row, held_out, score and evidence."""
     index, (places, chances), none = _index(docs, labels, label, folds, held_out, per_class, id_col, text_col)
-    carry = carry or [id_col]
     held = (fold(id_col, folds) == held_out).alias("_held")
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), held, F.col(text_col).alias("_text"))
     row_type = wide.schema["_row"].dataType.simpleString()
@@ -224,5 +216,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
                     chance[i], near[i] = memo[key]
             yield pa.record_batch([column(part, "_row"), column(part, "_held"), pa.array(np.clip(chance, 0, 1)), pa.array(near, pa.list_(pa.int64()))], ["_row", "held_out", "score", "evidence"])
 
-    scored = wide.mapInArrow(score, f"_row {row_type}, held_out boolean, score double, evidence array<long>")
+    return wide.mapInArrow(score, f"_row {row_type}, held_out boolean, score double, evidence array<long>")
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, held_out, score (probability of label 1), predicted, evidence (ids of the nearest examples, nearest first).
+
+    The index holds ``per_class`` labelled rows of each label at most, none of the held-out fold;
+    document frequencies are counted over all rows; every whole text is scored. A text without
+    a term of the index (also an empty or null one) gets the share of label 1 among such examples.
+    Without usable examples all scores are the labels' share. Every row gives one row, also null
+    and repeated ids; other columns are ignored.
+    """
+    scored = _scored(docs, labels, label, folds, held_out, per_class, id_col, text_col, [id_col])
     return scored.select("_row.*", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is below 0.5, all columns as they are."""
+    return _scored(docs, labels, label, folds, held_out, per_class, id_col, text_col, docs.columns).where("score < 0.5").select("_row.*")
