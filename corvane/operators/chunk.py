@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import context_prefix, lines, unified_newlines
-from ..schemas import CHUNKS
+from ..schemas import CHUNK_COLUMNS
 
 # Longest chunk, window and overlap in lines; rows that a node has to span.
 MOST_LINES, WINDOW, OVERLAP, LEAST_SPAN = 80, 60, 15, 2
@@ -145,7 +145,7 @@ def _ruby(source: str) -> list[Found]:
 
 
 def chunk_source(path: str, source: str, language: str) -> list[tuple]:
-    """Rows of CHUNKS, but for the prefix, of one file; a file without a structured chunk is one module chunk, a blank one none.
+    """Chunk rows (path, language, kind, name, parent, first and last row, text) of one file; a file without a structured chunk is one module chunk, a blank one none.
 
     Rows count from 0. Nodes of fewer than three rows are entered but not emitted. Python is parsed
     exactly; for the other languages declarations are found by keywords and matching braces (or
@@ -163,7 +163,7 @@ def chunk_source(path: str, source: str, language: str) -> list[tuple]:
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """Chunks of files (file_path, source, language): structure, fallback and windows, columns as of CHUNKS."""
+    """Chunks of files (file_path, source, language): structure, fallback and windows, columns CHUNK_COLUMNS."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -173,4 +173,4 @@ def chunk_files(files: DataFrame) -> DataFrame:
     usable = files.where(F.col("source").isNotNull() & F.col("language").isNotNull()).select("file_path", unified_newlines(F.col("source")).alias("source"), "language")
     found = usable.mapInPandas(run, "file_path string, language string, chunk_type string, name string, parent string, start_line int, end_line int, content string")
     named = found.withColumn("context_prefix", context_prefix(F.col("file_path"), F.col("parent"), F.col("name")))
-    return window_split(named.select(*CHUNKS.names))
+    return window_split(named.select(*CHUNK_COLUMNS))

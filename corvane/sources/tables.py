@@ -6,13 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 class Snapshots:
     """A table at ``root``. Readers see the old version or the new one, never a mixture; the path being read is never overwritten."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, partition: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, schema: str, partition: str | None = None):
         self.spark, self.root, self.schema, self.partition = spark, root.rstrip("/"), schema, partition
 
     def _files(self):
@@ -31,7 +30,7 @@ class Snapshots:
     def replace(self, df: DataFrame) -> str:
         """Writes df as the next version, then turns the pointer."""
         version = f"v-{uuid.uuid4().hex}"
-        writer = df.select(*self.schema.names).write
+        writer = df.select(*self.read().columns).write
         (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.root}/{version}")
         fs, path = self._files()
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -50,7 +49,7 @@ class Snapshots:
         self.replace(self.read().join(keys.select(*on).distinct(), on, "left_anti"))
 
     def append(self, df: DataFrame) -> None:
-        self.replace(self.read().unionByName(df.select(*self.schema.names)))
+        self.replace(self.read().unionByName(df.select(*self.read().columns)))
 
 
 def live(cache: DataFrame, now) -> DataFrame:
@@ -68,7 +67,7 @@ def chunk_id():
     return F.sha2(F.concat_ws("\u0000", "repo_id", "file_path", "start_line", "end_line", "chunk_type", F.coalesce("name", F.lit("")), F.sha2("content", 256)), 256)
 
 
-def json_results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def json_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON file of results; an empty table of the schema if there is none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
