@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What an escaped letter stands for.
@@ -30,8 +31,11 @@ def answer_so_far(text: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def answer_prefix(texts: pd.Series) -> pd.Series:
+def answer_prefix(text: Column) -> Column:
     """answer_so_far of a column; a lone surrogate, which no column can hold, becomes U+FFFD."""
-    found = texts.map(answer_so_far)
-    return found.map(lambda x: x.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(x, str) else None)
+
+    def decode(texts: pd.Series) -> pd.Series:
+        found = texts.map(answer_so_far)
+        return found.map(lambda x: x.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(x, str) else None)
+
+    return F.pandas_udf(decode, "string")(text)
