@@ -190,7 +190,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer, False)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", 6 << 20):
             ids, at = encoder(column(part, "_text"))
             rows, piece, start, length, crc = [], [], [], [], []
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):

@@ -27,6 +27,8 @@ MAGIC = b"BITPLN01"
 CHUNK = 1 << 16
 #: A file ends with the document that brings it to this many ids.
 FILE_IDS = 1 << 22
+#: So many files' starts are sent to all tasks; those of more files are joined by a shuffle.
+BROADCAST_FILES = 500_000
 CHUNK_ROW = struct.Struct("<QQIB")
 FOOTER = struct.Struct("<QQQII8s")
 
@@ -105,7 +107,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, i
             held, size, seq = [], 0, seq + 1
             return row
 
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 6 << 20):
             ids, at = encoder(column(batch, "_text"))
             counts = np.diff(at) + 1
             ids = np.insert(ids, at[1:], end_id)
@@ -123,7 +125,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, i
 def read_token_files(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document of the table of file images: id_col, start (ids of all documents before it), n_tokens, ids_crc32."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))  # a row a file
+    files = df.select("part", "seq", "n_ids")  # a row a file
+    starts = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    starts = F.broadcast(starts) if files.count() <= BROADCAST_FILES else starts
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

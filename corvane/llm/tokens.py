@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from .arrowtext import plain
 
 #: Pieces that a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: White space of Unicode, as a class of RE2.
 WHITE = r"[\x09-\x0D\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: A space within or at the end of a longer run of white space: such a run may not be cut there.
