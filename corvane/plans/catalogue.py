@@ -1,4 +1,255 @@
-"""Queries over the star schema and corpus tables: name -> plan, and the same in SQL."""
+"""Queries over the driver's tables: name -> plan of (spark, sf_dir), and the same in DuckDB's SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.decode import answer_prefix
+from ..operators import delta, evaluate, providers, ranking, retrieve, sparse
+from ..operators.chunk import window_split
+from ..operators.dense import cosine_top
+from ..sources.files import code_paths
+from ..streaming.conversation import last_turns
+from ..streaming.progress import latest, throttled
+from ..streaming.pushes import pushes
+from .oracles import ORACLES as ORACLES
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as one-chunk files."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_no"), F.format_string("%s/doc%d.txt", "source", "doc_id").alias("file_path"), F.lit(0).alias("start_line"), (F.regexp_count("text", F.lit("\n"))).alias("end_line"), F.col("text").alias("content"), F.format_string("%s/doc%d.txt", "source", "doc_id").alias("context_prefix"))
+
+
+def tokenize_counts(spark, sf_dir):
+    return sparse.tokenized(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.col("dl").alias("n_tokens"), F.size(F.array_distinct("terms")).cast("long").alias("n_distinct"))
+
+
+def bm25_topk(spark, sf_dir):
+    asked = questions(spark, sf_dir).withColumnRenamed("question", "query")
+    return sparse.bm25(table(spark, sf_dir, "documents"), asked, 20).select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def bm25_term_stats(spark, sf_dir):
+    stats = sparse.term_stats(sparse.tokenized(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return stats.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
+
+
+def dense_cosine_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return cosine_top(asked, vectors, 20).select("qid", "vec_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def dense_label_agreement(spark, sf_dir):
+    near = dense_cosine_topk(spark, sf_dir).where("qid <> vec_id")
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    both = near.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("own")), "qid")
+    return both.groupBy("qid").agg(F.round(F.avg(F.when(F.col("label") == F.col("own"), 1.0).otherwise(0.0)), 6).alias("agreement"))
+
+
+def hash_embed_topk(spark, sf_dir):
+    asked = providers.embed(questions(spark, sf_dir), "qid", F.col("question"))
+    held = providers.embed(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return cosine_top(asked, held, 20, ident="doc_id", vector="vector").select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def rrf_fusion(spark, sf_dir):
+    dense = hash_embed_topk(spark, sf_dir).select("qid", F.lit(1).alias("list_no"), "rank", "doc_id")
+    lists = dense.unionByName(bm25_topk(spark, sf_dir).select("qid", F.lit(2).alias("list_no"), "rank", "doc_id"))
+    return ranking.fuse(lists, ["qid"], ["doc_id"]).select("qid", "doc_id", "fused_score", F.col("fused_rank").cast("int").alias("fused_rank"))
+
+
+def _shown(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("qid", F.col("rank").cast("int").alias("rank"), "chunk_no", F.round("fused_score", 6).alias("fused_score"), F.round("rerank_score", 6).alias("rerank_score"), *more)
+
+
+def hybrid_single(spark, sf_dir):
+    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", rerank=False))
+
+
+def hybrid_retrieve(spark, sf_dir):
+    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), rerank=False))
+
+
+def rerank_topk(spark, sf_dir):
+    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single"))
+
+
+def corrective_retry(spark, sf_dir):
+    return _shown(retrieve.corrective(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single"), "attempt")
+
+
+def priority_merge(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    long = ranking.ranked(docs, ["source"], [F.col("n_chars").desc(), F.col("doc_id")]).select("source", "doc_id", "rank").where("rank <= 3")
+    first = ranking.ranked(docs, ["source"], [F.col("doc_id")]).select("source", "doc_id", "rank").where("rank <= 6")
+    return ranking.merge_prioritized(long, first, ["source"], ["doc_id"], 5).select("source", "doc_id", "src", F.col("rank").cast("int").alias("rank"))
+
+
+def expansion_dedupe(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+    asked = turns.select("qid", "question", F.array(F.lower("question"), F.concat(F.lit("  "), F.substring_index("question", " ", 2)), F.lit(" "), F.substring_index("question", " ", 2)).alias("generated"))
+    return ranking.expansions(asked).select("qid", F.col("variant").cast("int").alias("variant"), "query")
+
+
+def _page_questions(spark, sf_dir):
+    page = table(spark, sf_dir, "pages")
+    name = F.regexp_extract("url", r"([0-9]+)(?:[?#].*)?$", 1)
+    return page.select(F.col("page_id").alias("qid"), F.concat(F.lit("see ./src\\"), F.coalesce(F.nullif(name, F.lit("")), F.lit("x")), F.lit(".py, then "), "url", F.lit("/index.TSX and codingpy")).alias("question"))
+
+
+def file_refs(spark, sf_dir):
+    found = _page_questions(spark, sf_dir).select("qid", F.posexplode(X.file_references(F.col("question"))).alias("pos", "ref"))
+    return found.select("qid", F.col("pos").cast("int").alias("pos"), "ref")
+
+
+def path_match(spark, sf_dir):
+    asked = _page_questions(spark, sf_dir)
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_no"), F.concat(F.lit("lib/src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.lit(0).alias("start_line"), F.lit(1).alias("end_line"))
+    return retrieve.path_search(asked, files).select("qid", "chunk_no", "file_path", F.col("rank").cast("int").alias("rank"))
+
+
+def window_split_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.format_string("doc%d", "doc_id").alias("file_path"), F.lit("text").alias("language"), F.lit("module").alias("chunk_type"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("start_line"), F.regexp_count("text", F.lit("\n")).alias("end_line"), F.col("text").alias("content"), F.format_string("doc%d", "doc_id").alias("context_prefix"))
+    cut = window_split(chunks, 12, 9, 3)
+    return cut.select("file_path", "start_line", "end_line", "context_prefix", "name", F.md5("content").alias("digest"))
+
+
+def ext_language_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    ending = F.element_at(F.array(*map(F.lit, [".py", ".JS", ".md", ".tsx", ".c", ".rb", "py", ".Scala"])), (F.col("doc_id") % 8 + 1).cast("int"))
+    folder = F.element_at(F.array(*map(F.lit, ["src", "build", "lib/build.d", "node_modules/x", "a/b"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    paths = docs.select("doc_id", F.concat(folder, F.lit("/f"), F.col("doc_id").cast("string"), ending).alias("file_path"), (F.col("n_chars") * 200).alias("length"))
+    return code_paths(paths).select("doc_id", "file_path", "language")
+
+
+def _versions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    old = docs.where("doc_id % 7 <> 0").select(path.alias("file_path"), F.md5("text").alias("digest"))
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return old, docs.where("doc_id % 11 <> 0").select(path.alias("file_path"), F.md5(changed).alias("digest"))
+
+
+def delta_changes(spark, sf_dir):
+    return delta.changes(*_versions(spark, sf_dir))
+
+
+def delta_merge(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    touched = delta.changes(old, new)
+    fresh = new.join(touched.where("change <> 'deleted'"), "file_path", "left_semi")
+    return delta.merge(old, touched, fresh, ["file_path"])
+
+
+def distinct_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(X.slashed(F.col("source")).alias("file_path")).where("file_path <> ''")
+    return docs.groupBy("file_path").agg(F.count(F.lit(1)).cast("long").alias("chunks"))
+
+
+def history_last6(spark, sf_dir):
+    return last_turns(table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", "role", F.col("position").cast("int").alias("position"))
+
+
+def _job_events(spark, sf_dir):
+    phase = F.element_at(F.create_map(*[F.lit(x) for p in (("signup", "cloning"), ("view", "chunking"), ("click", "embedding"), ("purchase", "upserting"), ("error", "done")) for x in p]), F.col("event_type"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", phase.alias("phase"), k.alias("current"), (F.col("event_id") % 120).alias("total"))
+
+
+def progress_percent(spark, sf_dir):
+    return _job_events(spark, sf_dir).select("event_id", "phase", X.percent(F.col("phase"), F.col("current"), F.col("total")).alias("percent"))
+
+
+def progress_snapshot(spark, sf_dir):
+    return latest(_job_events(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", "phase", "current")
+
+
+def progress_throttle(spark, sf_dir):
+    return throttled(_job_events(spark, sf_dir).select("event_id", "user_id"), "user_id", "event_id").select("event_id", "user_id", F.col("rn").cast("long").alias("rn"))
+
+
+def webhook_join(spark, sf_dir):
+    payload = F.to_json(F.struct(F.concat(F.lit("refs/heads/"), F.element_at(F.array(F.lit("main"), F.lit("dev")), (F.col("event_id") % 2 + 1).cast("int"))).alias("ref"), F.struct(F.when(F.col("event_id") % 3 == 0, "dev").alias("default_branch"), F.concat(F.lit("https://h.example/r"), (F.col("user_id") % 40).cast("string"), F.lit(".git")).alias("clone_url")).alias("repository")))
+    events = table(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
+    repos = table(spark, sf_dir, "nation").select(F.col("n_name").alias("repo_id"), F.concat(F.lit("https://h.example/r"), F.col("n_nationkey").cast("string")).alias("url"))
+    return pushes(events, repos).select("event_id", "repo_id")
+
+
+def _evaluated(spark, sf_dir):
+    """Each benchmark item as a test: its first hit is the answer, its three first hits are the contexts."""
+    hits = bm25_topk(spark, sf_dir).where("rank <= 3").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    seen = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("contexts"))
+    tests = questions(spark, sf_dir).join(seen, "qid", "left").select("qid", "question", F.col("question").alias("ground_truth"), F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))
+    return evaluate.scored(tests.withColumn("answer", F.coalesce(F.get("contexts", F.lit(0)), F.lit(""))))
+
+
+def eval_scores(spark, sf_dir):
+    return evaluate.averages(_evaluated(spark, sf_dir)).select(*[F.round(m, 6).alias(m) for m in evaluate.METRICS])
+
+
+def eval_passed(spark, sf_dir):
+    return evaluate.passed(_evaluated(spark, sf_dir)).select("qid", F.round("overall", 6).alias("overall"), "passed", X.band_of_score(F.round("overall", 6)).alias("band"))
+
+
+def ablation_by_strategy(spark, sf_dir):
+    asked = questions(spark, sf_dir)
+    both = bm25_topk(spark, sf_dir).where("rank <= 5").select(F.lit("sparse").alias("strategy"), "qid", "doc_id").unionByName(hash_embed_topk(spark, sf_dir).where("rank <= 5").select(F.lit("dense").alias("strategy"), "qid", "doc_id"))
+    seen = both.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").groupBy("strategy", "qid").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("seen"))
+    scores = seen.join(asked, "qid").select("strategy", evaluate.overlap(F.col("question"), F.col("seen")).alias("context_recall"))
+    return evaluate.by_strategy(scores).select("strategy", F.round("mean", 6).alias("mean"), "scored", "n")
+
+
+def sse_events(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    none = F.array().cast("array<string>")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("conv_id").alias("session_id"), F.col("text").alias("answer"), none.alias("citations"), none.alias("sources"))
+    return retrieve.response_events(asked)
+
+
+def answer_decode(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
+    return turns.select("request_id", answer_prefix(F.to_json(F.struct(F.col("text").alias("answer")))).alias("answer"))
+
+
+def context_prompt(spark, sf_dir):
+    chunks = chunk_table(spark, sf_dir)
+    hits = bm25_topk(spark, sf_dir).where("rank <= 2").select("qid", "rank", F.col("doc_id").alias("chunk_no"))
+    return retrieve.context(hits, chunks).select("qid", F.md5("context").alias("digest"))
+
+
+def hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(X.host(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).cast("long").alias("pages"))
+
+
+def pricing_summary(spark, sf_dir):
+    """A built-in aggregate over the star schema."""
+    items = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")
+    return items.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+def events_by_hour(spark, sf_dir):
+    """Tumbling windows over the event stream's table."""
+    return table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        tokenize_counts, bm25_topk, bm25_term_stats, dense_cosine_topk, dense_label_agreement, hash_embed_topk, rrf_fusion, hybrid_single, hybrid_retrieve, rerank_topk,
+        corrective_retry, priority_merge, expansion_dedupe, file_refs, path_match, window_split_lines, ext_language_scan, delta_changes, delta_merge, distinct_files, history_last6,
+        progress_percent, progress_snapshot, progress_throttle, webhook_join, eval_scores, eval_passed, ablation_by_strategy, sse_events, answer_decode, context_prompt, hosts,
+        pricing_summary, events_by_hour,
+    )
+}
