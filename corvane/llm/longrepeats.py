@@ -26,7 +26,7 @@ LENGTH, GRAM = 200, 32
 #: Bytes of spans that an index is built of, about.
 INDEXED = 1 << 19
 #: An anchor of more different spans is settled string by string, by counts of their digests.
-VARIANTS = 2048
+VARIANTS = 256
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
