@@ -54,18 +54,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 3 << 20) ->
             first = last
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up, down = (np.full(n, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_held: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    up, down = _powers(max(20, int(n).bit_length()))
-    return up[:n], down[:n]
+    """BASE**i and BASE**-i modulo 2**64 for i < n; a worker holds one table, as long as it has needed."""
+    if not _held or len(_held[0]) < n:
+        _held.clear()
+        for x in (BASE, pow(BASE, -1, 1 << 64)):
+            table = np.full(max(n, 1 << 20), x, np.uint64)
+            table[0] = 1
+            _held.append(np.cumprod(table, out=table))
+    return _held[0][:n], _held[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -48,7 +48,7 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(CELLS, np.int32), 0
-        for part in slices(batches, name):
+        for part in slices(batches, name, 1 << 20):
             own, _, _ = weighted(*flat(column(part, name)))
             total += np.bincount(cells(own), minlength=CELLS).astype(np.int32)
             n += len(part)
@@ -204,7 +204,7 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     id_type = keyed.schema["_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", 1 << 20):
             own, level, doc, ends = _packed(rare, part)
             bands = signatures(own, level, doc, len(part)).astype(np.int64)
             weight = np.bincount(doc, np.exp(level / STEPS), len(part))
@@ -218,7 +218,7 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct().join(texts.select("_key", "least_id"), "_key").withColumnRenamed("_key", "_want")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", 1 << 20):
             own, level, _, ends = _packed(rare, part)
             packed = (own << np.uint64(16)) | level.astype(np.uint64)
             yield pa.record_batch([column(part, "_key"), pa.array([packed[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["_key", "packed"])
@@ -229,8 +229,9 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = (column(batch, c).to_pylist() for c in ("x", "y"))
-            like = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILAR - 1e-9 for x, y in zip(xs, ys)]
+            (xs, x_at), (ys, y_at) = (flat(column(batch, c)) for c in ("x", "y"))
+            xs, ys, x_at, y_at = xs.view(np.uint64), ys.view(np.uint64), x_at // 8, y_at // 8
+            like = [similarity(xs[a:b], ys[c:d]) >= SIMILAR - 1e-9 for a, b, c, d in zip(x_at[:-1], x_at[1:], y_at[:-1], y_at[1:])]
             yield batch.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
 
     links = saved(sided.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"))

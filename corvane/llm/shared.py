@@ -9,8 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows that Python workers get at most.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the size of batches for Python, if it is above BATCH_BYTES: texts are long, and workers make arrays several times as large as their batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if held < 0 or held > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder in ``spark.checkpoint.dir``; only where that is unset (tests), in a local one."""
+    small_batches(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import codepoints, column, flat, letter_words, slices
+from .arrowtext import codepoints, column, flat, letter_words, shingles, slices
 from .labelled import fold, sample
 
 #: Examples of each label that the index holds at most.
@@ -19,25 +19,24 @@ TERMS = 1024
 NEIGHBOURS = 15
 #: Examples in a block.
 BLOCK = 64
-#: A term has to be so many times as frequent with label 1, in so many different texts, with this log-likelihood ratio.
-LIFT, LEAST_TEXTS, LEAST_RATIO = 4.0, 3, 10.83
-#: Groups of like texts in which calibration sees each example apart from its copies.
+#: A term has to be so many times as frequent with label 1, in so many different texts; and its log-likelihood ratio one that of all terms seen some unrelated one reaches with this probability.
+LIFT, LEAST_TEXTS, CHANCE = 4.0, 3, 0.05
+#: Bins of votes that calibration fits probabilities to; an example's like texts don't vote for it there.
 BINS = 10
 
 
 def term_counts(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms of each text, how often, and of which text; and a min-hash of each text, the same for most near copies."""
-    points, at = codepoints(*flat(array))
-    hashed, doc = letter_words(points, at)
+    """Distinct terms of each text, how often, and of which text; and the least shingle of each text, the same for most near copies."""
+    data, offsets = flat(array)
+    hashed, doc = letter_words(*codepoints(data, offsets))
     order = np.lexsort((hashed, doc))
     hashed, doc = hashed[order], doc[order]
     new = np.ones(len(doc), bool)
     new[1:] = (hashed[1:] != hashed[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(doc)))
-    least = np.zeros(len(array), np.uint64)
-    has = np.unique(doc[first])
-    least[has] = hashed[first[np.searchsorted(doc[first], has)]]
+    least = np.full(len(array), np.iinfo(np.uint64).max)
+    np.minimum.at(least, *shingles(data, offsets, 5)[::-1])
     return hashed[first], count, doc[first], least
 
 
@@ -121,7 +120,7 @@ def _choose_terms(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
         new = np.ones(len(term), bool)
         new[1:] = (term[order][1:] != term[order][:-1]) | (of[order][1:] != of[order][:-1])
         sides.append(dict(zip(*(x.tolist() for x in np.unique(term[order][new], return_counts=True)))))
-    chosen = []
+    chosen, least_ratio = [], 2 * np.log(max(1, len(sides[1])) / CHANCE)
     for term, a in sides[1].items():
         b = sides[0].get(term, 0)
         p, q = a / totals[1], (b + 0.5) / totals[0]
@@ -129,7 +128,7 @@ def _choose_terms(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
             continue
         both = (a + b) / (totals[0] + totals[1])
         ratio = 2 * (a * np.log(p / both) + (b * np.log(b / totals[0] / both) if b else 0))
-        if ratio >= LEAST_RATIO:
+        if ratio >= least_ratio:
             chosen.append((-ratio, term))
     return np.array(sorted(x for _, x in sorted(chosen)[:TERMS]), np.uint64)
 
@@ -138,7 +137,7 @@ def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     chosen, counts = sample(docs, labels, label, folds, held_out, per_class, id_col, text_col)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", 1 << 20):
             term, count, doc, least = term_counts(column(part, "_text"))
             ends = np.searchsorted(doc, np.arange(len(part) + 1))
             yield pa.record_batch(
