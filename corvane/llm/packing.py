@@ -22,6 +22,8 @@ BINS = 64
 PARTS = 5
 #: Share of the fitted repeats that is packed by pattern; the rest serves to close the gaps.
 BY_PATTERN = 0.8
+#: Pieces of the lowest bins are in no pattern: they close gaps.
+GAP_BINS = 4
 #: Pieces of one length are numbered by up to this many tasks.
 SALTS = 64
 
@@ -170,7 +172,7 @@ def plan_packing(histogram: np.ndarray, capacity: int) -> Plan:
     lengths = np.arange(1, capacity + 1)
     np.add.at(binned, np.minimum((lengths + width - 1) // width, bins), histogram[1 : capacity + 1])
     own = patterns(bins, PARTS)
-    own = own[(binned[own] > 0).sum(1) == (own > 0).sum(1)]  # patterns of lengths that there are
+    own = own[((binned[own] > 0) | (own == 0)).all(1) & ((own == 0) | (own > GAP_BINS)).all(1)]  # patterns of lengths that there are
     if len(own):
         matrix = np.zeros((bins + 1, len(own)))
         for k in range(PARTS):
