@@ -71,9 +71,8 @@ def judged(questions: DataFrame, results: DataFrame, chunks: DataFrame) -> DataF
 
 def corrective(questions: DataFrame, chunks: DataFrame, **settings) -> DataFrame:
     """retrieve with one retry: questions whose first results are judged exactly NO are asked again, wider. Adds attempt."""
-    first = retrieve(questions, chunks, **settings)
-    verdicts = judged(questions, first, chunks)
-    refused = verdicts.where(F.col("verdict") == "NO").select("qid")
+    first = retrieve(questions, chunks, **settings).persist()  # top_k rows a question
+    refused = judged(questions, first, chunks).where(F.col("verdict") == "NO").select("qid").persist()
     second = retrieve(questions.join(refused, "qid", "left_semi"), chunks, **settings | {"attempt": 1})
     return first.join(refused, "qid", "left_anti").withColumn("attempt", F.lit(0)).unionByName(second.withColumn("attempt", F.lit(1)))
 
