@@ -37,7 +37,7 @@ def base_counts(docs: DataFrame, text_col: str) -> DataFrame:
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-            "n_other": F.regexp_count(text, F.lit(r"[^\p{L}\s]")).cast("long"),
+            "n_other": F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")).cast("long"),
             "n_bare": F.regexp_count(text, F.lit(r"(?<![^\s])[^\p{L}\p{N}\s]+(?![^\s])")).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
@@ -79,7 +79,7 @@ def rules() -> dict[str, Column]:
         "symbols": vote(100 * c["n_symbols"] <= c["word_chars"], 100 * c["n_symbols"] > 8 * c["word_chars"]),
         "letters": vote(100 * c["n_other"] <= 20 * c["word_chars"], 100 * c["n_other"] > 30 * c["word_chars"]),
         "bare": vote(100 * c["n_bare"] <= 5 * c["n_words"], 100 * c["n_bare"] > 20 * c["n_words"]),
-        "lines": vote(c["n_dup_lines"] == 0, 10 * c["n_dup_lines"] > 3 * c["n_lines"]),
+        "lines": vote(c["n_dup_lines"] == 0, 2 * c["n_dup_lines"] > c["n_lines"]),
         "windows": vote(100 * c["n_repeat_words"] <= 5 * c["n_words"], 100 * c["n_repeat_words"] > 20 * c["n_words"]),
         "variety": vote(10 * c["n_distinct"] >= 3 * c["n_words"], (10 * c["n_distinct"] < c["n_words"]) & (c["n_words"] < 2000)),
     }
@@ -155,7 +155,7 @@ rep AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win), range(0, {WINDOW}) AS r(k) WHERE c > 1 GROUP BY doc_id),
 c AS (
   SELECT w.doc_id, len(words)::bigint AS n_words, length(array_to_string(words, ''))::bigint AS word_chars,
-    len(regexp_extract_all(t, '{SYMBOLS}'))::bigint AS n_symbols, len(regexp_extract_all(t, '[^\\p{{L}}\\x20\\x09-\\x0D]'))::bigint AS n_other,
+    len(regexp_extract_all(t, '{SYMBOLS}'))::bigint AS n_symbols, len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D]'))::bigint AS n_other,
     len(list_filter(words, lambda x: regexp_matches(x, '^[^\\p{{L}}\\p{{N}}]+$')))::bigint AS n_bare, len(lines)::bigint AS n_lines, (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines,
     coalesce(rep.n, 0)::bigint AS n_repeat_words, len(list_distinct(words))::bigint AS n_distinct
   FROM w LEFT JOIN rep ON w.doc_id IS NOT DISTINCT FROM rep.doc_id),
@@ -166,7 +166,7 @@ v AS (
     CASE WHEN 100 * n_symbols > 8 * word_chars THEN -1 WHEN 100 * n_symbols <= word_chars THEN 1 ELSE 0 END AS vote_symbols,
     CASE WHEN 100 * n_other > 30 * word_chars THEN -1 WHEN 100 * n_other <= 20 * word_chars THEN 1 ELSE 0 END AS vote_letters,
     CASE WHEN 100 * n_bare > 20 * n_words THEN -1 WHEN 100 * n_bare <= 5 * n_words THEN 1 ELSE 0 END AS vote_bare,
-    CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN -1 WHEN n_dup_lines = 0 THEN 1 ELSE 0 END AS vote_lines,
+    CASE WHEN 2 * n_dup_lines > n_lines THEN -1 WHEN n_dup_lines = 0 THEN 1 ELSE 0 END AS vote_lines,
     CASE WHEN 100 * n_repeat_words > 20 * n_words THEN -1 WHEN 100 * n_repeat_words <= 5 * n_words THEN 1 ELSE 0 END AS vote_windows,
     CASE WHEN 10 * n_distinct < n_words AND n_words < 2000 THEN -1 WHEN 10 * n_distinct >= 3 * n_words THEN 1 ELSE 0 END AS vote_variety
   FROM c),
