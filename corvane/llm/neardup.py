@@ -27,7 +27,7 @@ PARTS, SALTS = 64, 16
 STEPS = 8
 #: Draws of the sampling; shingles share them by hash and are told apart by more bits of it.
 DRAWS = 1 << 12
-#: Members of a bucket that are all compared with each other; a larger one is dealt to groups of about half of that, twice over.
+#: Members of a bucket that are all compared with each other; a larger one is dealt to groups of up to about half of that, twice over.
 CLOSE = 32
 
 
@@ -165,7 +165,8 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     large = own.where(many)
     found = found.unionByName(large.withColumn("weight2", F.col("least_weight")).where((F.col("node") != F.col("least")) & room).select(F.col("least").alias("a"), F.col("node").alias("b")))
     for seed in (1, 2):
-        dealt = large.withColumn("deal", F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("n") * 2 / CLOSE)))
+        deals = F.pow(F.lit(2), F.ceil(F.log2(F.col("n"))) - int(np.log2(CLOSE)) + 1).cast("long")  # the same for bands of about as many members, so that they give the same pairs
+        dealt = large.withColumn("deal", F.pmod(F.xxhash64("node", F.lit(seed)), deals))
         found = found.unionByName(met(dealt, ["band", "deal"]))
     return found.distinct()
 
