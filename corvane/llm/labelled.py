@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; null ids are in fold 0."""
@@ -17,6 +19,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     The rows of each label are those of the least hashes of their ids, so that the sample is the
     same however the tables are dealt out. Rows whose id or label is null are left out.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1)).withColumn("_id2", F.col("_id"))
     known = known.where(fold("_id2", folds) != held_out).select("_id", "_label").distinct()
     counts = {int(k): int(n) for k, n in known.groupBy("_label").count().collect()}
