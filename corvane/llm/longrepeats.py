@@ -26,7 +26,7 @@ LENGTH, GRAM = 200, 32
 #: Bytes of spans that an index is built of, about.
 INDEXED = 1 << 19
 #: An anchor of more different spans is settled string by string, by counts of their digests.
-VARIANTS = 256
+VARIANTS = 8192
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,12 +77,12 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         ordered = key[order]
         new = np.ones(n, bool)
         new[1:] = ordered[1:] != ordered[:-1]
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(new)
         ranks.append(rank)
         if new.all() or size >= 2 * n:
             return order, ranks
-        after = np.zeros(n, np.int64)
+        after = np.zeros(n, np.int32)
         if size < n:
             after[:-size] = rank[size:]
         key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
