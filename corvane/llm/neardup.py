@@ -27,7 +27,7 @@ PARTS, SALTS = 64, 16
 STEPS = 8
 #: Draws of the sampling; shingles share them by hash and are told apart by more bits of it.
 DRAWS = 1 << 12
-#: Members of a bucket that are all compared with each other; a larger one is dealt to groups of up to about half of that, twice over.
+#: Members of a bucket that are all compared with each other; a larger one is dealt to groups of up to about half of that, twice over, alike in all bands of the same least member and about as many.
 CLOSE = 32
 
 
@@ -162,12 +162,13 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
         return rows.join(other, keys).where((F.col("node") < F.col("node2")) & room).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
     found = met(own.where(~many), ["band"])
-    large = own.where(many)
-    found = found.unionByName(large.withColumn("weight2", F.col("least_weight")).where((F.col("node") != F.col("least")) & room).select(F.col("least").alias("a"), F.col("node").alias("b")))
+    large = own.where(many).withColumn("size", F.ceil(F.log2("n")).cast("int")).select("least", "least_weight", "size", "node", "weight").distinct()
+    starred = large.select("least", "node", "weight", F.col("least_weight").alias("weight2")).distinct()
+    found = found.unionByName(starred.where((F.col("node") != F.col("least")) & room).select(F.col("least").alias("a"), F.col("node").alias("b")))
     for seed in (1, 2):
-        deals = F.pow(F.lit(2), F.ceil(F.log2(F.col("n"))) - int(np.log2(CLOSE)) + 1).cast("long")  # the same for bands of about as many members, so that they give the same pairs
-        dealt = large.withColumn("deal", F.pmod(F.xxhash64("node", F.lit(seed)), deals))
-        found = found.unionByName(met(dealt, ["band", "deal"]))
+        deals = F.pow(F.lit(2), F.col("size") - int(np.log2(CLOSE)) + 1).cast("long")
+        dealt = large.select("least", "size", "node", "weight", F.pmod(F.xxhash64("node", F.lit(seed)), deals).alias("deal"))
+        found = found.unionByName(met(dealt, ["least", "size", "deal"]))
     return found.distinct()
 
 
