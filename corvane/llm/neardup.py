@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,12 @@ PARTS, SALTS = 64, 16
 STEPS = 8
 #: Draws of the sampling; shingles share them by hash and are told apart by more bits of it.
 DRAWS = 1 << 12
-#: Members of a bucket that are all compared with each other; a larger one is dealt to groups of up to about half of that, twice over, alike in all bands of the same least member and about as many.
+#: Members of a bucket whose pairs become rows; the pairs of a larger one are compared block by block.
 CLOSE = 32
+#: Members, and bytes of their shingles, of a block of a large bucket's members.
+BLOCK, BLOCK_BYTES = 128, 4 << 20
+#: Columns of the matrices by which two blocks are compared.
+WIDE = 4096
 
 
 def weighted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,32 +149,138 @@ def _packed(rare: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndar
     return own, level, doc, np.searchsorted(doc, np.arange(len(part) + 1))
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of members (band, node, weight) that share a band; the weights leave room for SIMILAR.
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle, weight and text number of the shingles of packed texts."""
+    data, at = flat(packed)
+    whole = np.frombuffer(data.tobytes(), np.uint64)
+    weight = np.exp((whole & np.uint64(0xFFFF)).astype(np.float64) / STEPS)
+    return whole >> np.uint64(16), weight, np.repeat(np.arange(len(packed)), np.diff(at) // 8)
+
+
+def similarities(x: tuple, n: int, y: tuple, m: int) -> np.ndarray:
+    """Weighted Jaccard (n x m) of each of n texts with each of m; texts are (shingle, weight, text number) of their shingles."""
+    (hx, wx, dx), (hy, wy, dy) = x, y
+    most = np.bincount(dx, wx, n)[:, None] + np.bincount(dy, wy, m)[None, :]
+    shared = np.intersect1d(hx, hy)
+    kept = [(h[k], w[k], d[k] + shift) for h, w, d, shift in ((hx, wx, dx, 0), (hy, wy, dy, n)) if (k := np.isin(h, shared)) is not None]
+    h, w, d = (np.concatenate(z) for z in zip(*kept))
+    # the lesser of two weights is the sum of the steps between a shingle's weights that both reach
+    order = np.lexsort((w, h))
+    h, w, d = h[order], w[order], d[order]
+    other = np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0
+    new = other | (np.diff(w, prepend=-1) != 0)
+    step, first = np.cumsum(new) - 1, np.maximum.accumulate(np.where(other, np.cumsum(new) - 1, 0))
+    tall = w[new] - np.where(other[new], 0, np.concatenate([[0], w[new][:-1]]))
+    reached = step - first + 1
+    row, col = np.repeat(d, reached), np.repeat(step, reached) - (np.arange(reached.sum()) - np.repeat(np.cumsum(reached) - reached, reached))
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    least = np.zeros((n, m))
+    for at in range(0, len(tall), WIDE):
+        a, b = np.searchsorted(col, [at, at + WIDE])
+        held = np.zeros((n + m, min(WIDE, len(tall) - at)))
+        held[row[a:b], col[a:b] - at] = 1
+        least += (held[:n] * tall[at : at + WIDE]) @ held[n:].T
+    return least / np.maximum(most - least, 1e-300)
+
+
+def _bucketed(rows: pa.Table, group: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its large bands of this group, and of groups before it, by slot; 0: none."""
+    lists = rows["larges"].combine_chunks()
+    doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    slot, band, home = (lists.flatten().field(k).to_numpy() for k in ("slot", "band", "home"))
+    out = []
+    for mine in (home == group, home < group):
+        bands = np.zeros((len(lists), BANDS), np.int64)
+        bands[doc[mine], slot[mine]] = band[mine]
+        out.append(bands)
+    return tuple(out)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each of x has a band with each of y."""
+    out = np.zeros((len(x), len(y)), bool)
+    for k in range(BANDS):
+        out |= (x[:, k, None] == y[None, :, k]) & (x[:, k, None] != 0)
+    return out
+
+
+def _forest(like: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a symmetric matrix that join all that it joins."""
+    new, kept = np.ones(len(like), bool), []
+    for start in range(len(like)):
+        new[start] = False
+        stack = [start]
+        while stack:
+            at = stack.pop()
+            met = np.flatnonzero(like[at] & new)
+            new[met] = False
+            stack += met.tolist()
+            kept += [(at, x) for x in met.tolist()]
+    return kept
 
-    Bands with the same members count once. All members of a bucket of up to CLOSE meet; those of
-    a larger one meet its least node, and in two dealings small groups of each other, so that no
-    task holds a bucket and no bucket gives all its pairs. There like texts are linked over others.
+
+def compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
+    """Compares the members of two blocks of a group, or of one with each other: (a, null, links of a), and (a, b, 0) of links that join the same texts as all.
+
+    A pair is compared if it shares a large bucket of this group and none of a group before, so
+    that each pair is compared in one group.
+    """
+    group, low, high = (k.as_py() for k in key)
+    low_rows, high_rows = (rows.filter(pc.equal(rows["block"], k)) for k in (low, high))
+    names = [z["node"].to_pylist() for z in (low_rows, high_rows)]
+    n, m = map(len, names)
+    out: tuple[list, list, list] = ([], [], [])
+    if n and m:
+        (own_x, old_x), (own_y, old_y) = (_bucketed(z, group) for z in (low_rows, high_rows))
+        asked = _shared(own_x, own_y) & ~_shared(old_x, old_y)
+        if low == high:
+            np.fill_diagonal(asked, False)
+        if asked.any():
+            x, y = (_unpacked(z["packed"].combine_chunks()) for z in (low_rows, high_rows))
+            like = asked & (similarities(x, n, y, m) >= SIMILAR - 1e-9)
+            if low == high:
+                like |= like.T
+                nodes, whole = names[0], like
+            else:
+                nodes, whole = names[0] + names[1], np.block([[np.zeros((n, n), bool), like], [like.T, np.zeros((m, m), bool)]])
+            count = whole.sum(1)
+            for at in np.flatnonzero(count).tolist():
+                out[0].append(nodes[at]), out[1].append(None), out[2].append(int(count[at]))
+            for a, b in _forest(whole):
+                out[0].append(nodes[a]), out[1].append(nodes[b]), out[2].append(0)
+    return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["a", "b", "n"])
+
+
+def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (band, slot, node, weight) that share a band, each pair of them in one of two ways.
+
+    Pairs: distinct (a, b), a < b, of those that share buckets of up to CLOSE members only, and
+    whose weights leave room for SIMILAR. Of larger buckets, groups of those with the same least
+    node: (home, node); and per node its large bands (slot, band, home). Bands with the same
+    members count once.
     """
-    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min_by("weight", "node").alias("least_weight")).where("n > 1")
-    once = buckets.groupBy("n", "least", "most", "all").agg(F.min("band").alias("band"), F.min("least_weight").alias("least_weight"))
-    own = saved(members.join(once.select("band", "n", "least", "least_weight"), "band"))
+    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
+    once = buckets.groupBy("n", "least", "most", "all").agg(F.min("band").alias("band"))
+    own = saved(members.join(once.select("band", "n", F.xxhash64("least").alias("home")), "band"))
     room = F.least(F.col("weight"), F.col("weight2")) >= SIMILAR * F.greatest(F.col("weight"), F.col("weight2")) - 1e-9
-    many = F.col("n") > CLOSE
+    large = own.where(F.col("n") > CLOSE)
+    larges = saved(large.groupBy("node").agg(F.collect_list(F.struct("slot", "band", "home")).alias("larges")))
+    many = F.coalesce(F.col("larges.band"), F.array().cast("array<long>"))
+    small = own.where(F.col("n") <= CLOSE).join(larges, "node", "left").select("band", "node", "weight", many.alias("many"))
+    other = small.select("band", F.col("node").alias("node2"), F.col("weight").alias("weight2"), F.col("many").alias("many2"))
+    met = small.join(other, "band").where((F.col("node") < F.col("node2")) & room & ~F.arrays_overlap("many", "many2"))
+    return met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), large.select("home", "node").distinct(), larges
 
-    def met(rows: DataFrame, keys: list[str]) -> DataFrame:
-        other = rows.select(*keys, F.col("node").alias("node2"), F.col("weight").alias("weight2"))
-        return rows.join(other, keys).where((F.col("node") < F.col("node2")) & room).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
-    found = met(own.where(~many), ["band"])
-    large = own.where(many).withColumn("size", F.ceil(F.log2("n")).cast("int")).select("least", "least_weight", "size", "node", "weight").distinct()
-    starred = large.select("least", "node", "weight", F.col("least_weight").alias("weight2")).distinct()
-    found = found.unionByName(starred.where((F.col("node") != F.col("least")) & room).select(F.col("least").alias("a"), F.col("node").alias("b")))
-    for seed in (1, 2):
-        deals = F.pow(F.lit(2), F.col("size") - int(np.log2(CLOSE)) + 1).cast("long")
-        dealt = large.select("least", "size", "node", "weight", F.pmod(F.xxhash64("node", F.lit(seed)), deals).alias("deal"))
-        found = found.unionByName(met(dealt, ["least", "size", "deal"]))
-    return found.distinct()
+def crowded(groups: DataFrame, larges: DataFrame, sets: DataFrame) -> DataFrame:
+    """What compare_blocks finds in all groups: their members are dealt to blocks, and each two blocks of a group are compared, so that no task holds a group and no pair is left out."""
+    sized = groups.join(sets, "node").groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("packed")).alias("bytes"))
+    blocks = sized.select("home", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = groups.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("home", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node")
+    rows = met.join(larges, "node").join(sets, "node")
+    return saved(rows.groupBy("home", "low", "high").applyInArrow(compare_blocks, "a binary, b binary, n long"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -215,9 +326,10 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     signed = saved(keyed.mapInArrow(sign, f"_id {id_type}, _key binary, weight double, bands array<long>"))
     texts = saved(signed.groupBy("_key").agg(F.min("_id").alias("least_id"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands")))
-    members = texts.where("weight > 0").select(F.col("_key").alias("node"), "weight", F.explode("bands").alias("band"))
-    pairs = saved(candidate_pairs(members))
-    wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct().join(texts.select("_key", "least_id"), "_key").withColumnRenamed("_key", "_want")
+    members = texts.where("weight > 0").select(F.col("_key").alias("node"), "weight", F.posexplode("bands").alias("slot", "band"))
+    pairs, groups, larges = candidates(members)
+    pairs, groups = saved(pairs), saved(groups)
+    wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).unionByName(larges.select(F.col("node").alias("_key"))).distinct().join(texts.select("_key", "least_id"), "_key").withColumnRenamed("_key", "_want")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", 1 << 20):
@@ -237,8 +349,11 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield batch.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
 
     links = saved(sided.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"))
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = components(links).join(degree, "node")
+    blocks = crowded(groups, larges, sets.withColumnRenamed("_key", "node"))
+    one = F.lit(1).cast("long").alias("n")
+    ends = links.select(F.col("a").alias("node"), one).unionAll(links.select(F.col("b").alias("node"), one)).unionAll(blocks.where("b is null").select(F.col("a").alias("node"), "n"))
+    degree = ends.groupBy("node").agg(F.sum("n").alias("n_links"))
+    labels = components(links.unionAll(blocks.where("b is not null").select("a", "b"))).join(degree, "node")
     named = texts.select("_key", "least_id").join(labels, F.col("_key") == F.col("node"), "left").select("_key", "least_id", F.coalesce("label", "_key").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     classes = named.groupBy("label").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("_id"), "_key")).alias("first"))
     return signed.select("_id", "_key"), named.join(classes, "label").select("_key", "first", "n_links")

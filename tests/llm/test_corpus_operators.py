@@ -100,6 +100,40 @@ def test_near_duplicates_like_brute_force(spark):
     assert found == {d: root(d) for d, _ in docs}
 
 
+def test_near_duplicates_of_large_buckets(spark):
+    rng = random.Random(11)
+    base, chain = prose(300, 200).split(), [f"c{i}" for i in range(200)]
+    docs = []
+    for _ in range(300):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 8])):
+            own[rng.randrange(len(own))] = f"new{rng.random()}"
+        docs.append((len(docs), " ".join(own)))
+    for i in range(60):  # likeness over others
+        docs.append((len(docs), " ".join(chain[: 200 - i] + [f"d{j}" for j in range(i)])))
+    docs = list({t: d for d, t in docs}.items())
+    rows = spark.createDataFrame([(d, t) for t, d in docs], "doc_id long, text string")
+    frequency, n = neardup.frequencies(rows.select("text"))
+    rare = neardup.rarity(frequency, n)
+    sets = []
+    for t, _ in docs:
+        own, count, _ = neardup.weighted(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        sets.append((own << np.uint64(16)) | neardup.levels(count, rare[neardup.cells(own)]).astype(np.uint64))
+    links, edges = collections.Counter(), []
+    for a in range(len(docs)):
+        for b in range(a):
+            if neardup.similarity(sets[a], sets[b]) >= neardup.SIMILAR - 1e-9:
+                links[docs[a][1]] += 1
+                links[docs[b][1]] += 1
+                edges.append((docs[a][1], docs[b][1]))
+    label = {d: d for _, d in docs}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    found = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(rows).collect()}
+    assert found == {d: (label[d], links[d]) for _, d in docs}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30) if i != 14] + [(40, 41), (41, 42), (42, 40)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
