@@ -18,9 +18,9 @@ from .shared import saved
 
 #: Words of a shingle, and the weighted Jaccard similarity of near duplicates.
 WORDS, SIMILAR = 5, 0.8
-#: Bands of samples: a pair at SIMILAR shares none with probability (1 - SIMILAR**ROWS)**BANDS, 3 in 100,000; a more similar one far more seldom.
-BANDS, ROWS = 20, 4
-#: Shingles' document frequencies are counted in so many cells; a cell's count is at most the shingles of all texts / CELLS too high.
+#: Bands of samples: a pair at SIMILAR by the sampled weights shares none with probability (1 - SIMILAR**ROWS)**BANDS, 4 in 10 million; one at 2 / 3 by them, 2 in 1,000.
+BANDS, ROWS = 28, 4
+#: For sampling alone, shingles' document frequencies are counted in so many cells; a cell's count is at most the shingles of all texts / CELLS too high.
 CELLS = 1 << 18
 #: The sketch travels in so many parts, each summed in SALTS places first.
 PARTS, SALTS = 64, 16
@@ -28,6 +28,8 @@ PARTS, SALTS = 64, 16
 STEPS = 8
 #: Draws of the sampling; shingles share them by hash and are told apart by more bits of it.
 DRAWS = 1 << 12
+#: Rarities are from 1 to 2, so a sampled weight is from 1 / 2 to 1 of the true one, before both are rounded; like texts' sampled weights differ by no larger factor than this.
+ROOM = SIMILAR / 2 * float(np.exp(-2 / STEPS))
 #: Members of a bucket whose pairs become rows; the pairs of a larger one are compared block by block.
 CLOSE = 32
 #: Members, and bytes of their shingles, of a block of a large bucket's members.
@@ -133,9 +135,8 @@ def signatures(shingle: np.ndarray, level: np.ndarray, doc: np.ndarray, texts: i
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two sorted arrays of shingle << 16 | level."""
-    ha, hb = a >> np.uint64(16), b >> np.uint64(16)
-    wa, wb = (np.exp((x & np.uint64(0xFFFF)).astype(np.float64) / STEPS) for x in (a, b))
+    """Weighted Jaccard of two arrays of rows (shingle, bits of its weight), sorted by shingle."""
+    (ha, hb), (wa, wb) = (a[:, 0], b[:, 0]), (np.ascontiguousarray(x[:, 1]).view(np.float64) for x in (a, b))
     at = np.minimum(np.searchsorted(hb, ha), max(0, len(hb) - 1))
     same = np.flatnonzero(hb[at] == ha) if len(hb) else np.zeros(0, np.int64)
     least = np.minimum(wa[same], wb[at[same]]).sum()
@@ -143,18 +144,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(least / total) if total else 0.0
 
 
-def _packed(rare: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _leveled(rare: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own, count, doc = weighted(*flat(column(part, "_text")))
-    level = levels(count, rare[cells(own)])
-    return own, level, doc, np.searchsorted(doc, np.arange(len(part) + 1))
+    return own, levels(count, rare[cells(own)]), doc
 
 
 def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingle, weight and text number of the shingles of packed texts."""
     data, at = flat(packed)
-    whole = np.frombuffer(data.tobytes(), np.uint64)
-    weight = np.exp((whole & np.uint64(0xFFFF)).astype(np.float64) / STEPS)
-    return whole >> np.uint64(16), weight, np.repeat(np.arange(len(packed)), np.diff(at) // 8)
+    whole = np.frombuffer(data.tobytes(), np.uint64).reshape(-1, 2)
+    shingle, weight = (np.ascontiguousarray(whole[:, k]) for k in (0, 1))
+    return shingle, weight.view(np.float64), np.repeat(np.arange(len(packed)), np.diff(at) // 16)
 
 
 def similarities(x: tuple, n: int, y: tuple, m: int) -> np.ndarray:
@@ -256,14 +256,14 @@ def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (band, slot, node, weight) that share a band, each pair of them in one of two ways.
 
     Pairs: distinct (a, b), a < b, of those that share buckets of up to CLOSE members only, and
-    whose weights leave room for SIMILAR. Of larger buckets, groups of those with the same least
+    whose sampled weights leave room for SIMILAR. Of larger buckets, groups of those with the same least
     node: (home, node); and per node its large bands (slot, band, home). Bands with the same
     members count once.
     """
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
     once = buckets.groupBy("n", "least", "most", "all").agg(F.min("band").alias("band"))
     own = saved(members.join(once.select("band", "n", F.xxhash64("least").alias("home")), "band"))
-    room = F.least(F.col("weight"), F.col("weight2")) >= SIMILAR * F.greatest(F.col("weight"), F.col("weight2")) - 1e-9
+    room = F.least(F.col("weight"), F.col("weight2")) >= ROOM * F.greatest(F.col("weight"), F.col("weight2"))
     large = own.where(F.col("n") > CLOSE)
     larges = saved(large.groupBy("node").agg(F.collect_list(F.struct("slot", "band", "home")).alias("larges")))
     many = F.coalesce(F.col("larges.band"), F.array().cast("array<long>"))
@@ -310,6 +310,39 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return wide.join(kept, (F.col("_key") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
+def shingle_counts(texts: DataFrame) -> DataFrame:
+    """(shingle, held): in how many texts each shingle is; texts has one column."""
+    name = texts.columns[0]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, name, 2 << 20):
+            own, held = np.unique(weighted(*flat(column(part, name)))[0], return_counts=True)
+            yield pa.record_batch([pa.array(own.astype(np.int64)), pa.array(held.astype(np.int64))], ["shingle", "held"])
+
+    return texts.mapInArrow(count, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
+
+
+def weighed(chosen: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """(_key, packed): the shingles of each text of chosen (_key, _text) with weights by the true document frequencies, as similarity takes them."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text", 1 << 20):
+            own, count, doc = weighted(*flat(column(part, "_text")))
+            yield pa.record_batch([column(part, "_key").take(pa.array(doc)), pa.array(own.astype(np.int64)), pa.array(count.astype(np.int64))], ["_key", "shingle", "times"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = column(batch, "own")
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            shingle, weight = (lists.flatten().field(k).to_numpy() for k in ("shingle", "weight"))
+            whole = np.stack([shingle.view(np.uint64), weight.view(np.uint64)], axis=1)
+            yield pa.record_batch([column(batch, "_key"), pa.array([whole[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["_key", "packed"])
+
+    rare = 1 + F.log((n + 1) / F.col("held")) / float(np.log(n + 2))
+    rows = chosen.mapInArrow(split, "_key binary, shingle long, times long").join(counts, "shingle").select("_key", "shingle", F.exp(F.rint(F.log(F.col("times") * rare) * STEPS) / STEPS).alias("weight"))
+    return rows.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("shingle", "weight"))).alias("own")).mapInArrow(pack, "_key binary, packed binary")
+
+
 def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(_id, _key) of all rows; and per text _key, its class's first row (struct of _id and _key) and its number of links."""
     frequency, n = frequencies(keyed.select("_text"))
@@ -318,7 +351,7 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", 1 << 20):
-            own, level, doc, ends = _packed(rare, part)
+            own, level, doc = _leveled(rare, part)
             bands = signatures(own, level, doc, len(part)).astype(np.int64)
             weight = np.bincount(doc, np.exp(level / STEPS), len(part))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1)))
@@ -331,20 +364,14 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs, groups = saved(pairs), saved(groups)
     wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).unionByName(larges.select(F.col("node").alias("_key"))).distinct().join(texts.select("_key", "least_id"), "_key").withColumnRenamed("_key", "_want")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text", 1 << 20):
-            own, level, _, ends = _packed(rare, part)
-            packed = (own << np.uint64(16)) | level.astype(np.uint64)
-            yield pa.record_batch([column(part, "_key"), pa.array([packed[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["_key", "packed"])
-
-    chosen = keyed.join(wanted, (F.col("_key") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("least_id")), "left_semi").select("_key", "_text")
-    sets = saved(chosen.mapInArrow(pack, "_key binary, packed binary").dropDuplicates(["_key"]))
+    chosen = keyed.join(wanted, (F.col("_key") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("least_id")), "left_semi").select("_key", "_text").dropDuplicates(["_key"])
+    sets = saved(weighed(chosen, shingle_counts(keyed.select("_text")), n))
     sided = pairs.join(sets.select(F.col("_key").alias("a"), F.col("packed").alias("x")), "a").join(sets.select(F.col("_key").alias("b"), F.col("packed").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (xs, x_at), (ys, y_at) = (flat(column(batch, c)) for c in ("x", "y"))
-            xs, ys, x_at, y_at = xs.view(np.uint64), ys.view(np.uint64), x_at // 8, y_at // 8
+            xs, ys, x_at, y_at = xs.view(np.uint64).reshape(-1, 2), ys.view(np.uint64).reshape(-1, 2), x_at // 16, y_at // 16
             like = [similarity(xs[a:b], ys[c:d]) >= SIMILAR - 1e-9 for a, b, c, d in zip(x_at[:-1], x_at[1:], y_at[:-1], y_at[1:])]
             yield batch.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
 

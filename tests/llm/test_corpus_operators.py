@@ -113,12 +113,9 @@ def test_near_duplicates_of_large_buckets(spark):
         docs.append((len(docs), " ".join(chain[: 200 - i] + [f"d{j}" for j in range(i)])))
     docs = list({t: d for d, t in docs}.items())
     rows = spark.createDataFrame([(d, t) for t, d in docs], "doc_id long, text string")
-    frequency, n = neardup.frequencies(rows.select("text"))
-    rare = neardup.rarity(frequency, n)
-    sets = []
-    for t, _ in docs:
-        own, count, _ = neardup.weighted(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
-        sets.append((own << np.uint64(16)) | neardup.levels(count, rare[neardup.cells(own)]).astype(np.uint64))
+    split = [neardup.weighted(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t, _ in docs]
+    held = collections.Counter(h for own, _, _ in split for h in own.tolist())
+    sets = [np.stack([own, np.exp(neardup.levels(count, neardup.rarity(np.array([held[h] for h in own.tolist()]), len(docs))) / neardup.STEPS).view(np.uint64)], axis=1) for own, count, _ in split]
     links, edges = collections.Counter(), []
     for a in range(len(docs)):
         for b in range(a):
@@ -134,6 +131,15 @@ def test_near_duplicates_of_large_buckets(spark):
     assert found == {d: (label[d], links[d]) for _, d in docs}
 
 
+def test_near_duplicates_weigh_by_true_frequencies(spark):
+    rng = random.Random(13)
+    new = lambda k: " ".join(f"{rng.getrandbits(36):x}" for _ in range(k))
+    passage = new(178)  # 174 shingles in 200 of 2,000 texts, 15 own ones: weighted Jaccard 0.79
+    docs = [f"{passage} {new(15)}" for _ in range(2)] + [f"{passage} {new(1100)}" for _ in range(198)] + [new(1100) for _ in range(1800)]
+    rows = neardup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert rows.where("n_links > 0 or class_id <> doc_id").count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30) if i != 14] + [(40, 41), (41, 42), (42, 40)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
