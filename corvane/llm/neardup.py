@@ -20,22 +20,22 @@ from .shared import saved
 WORDS, SIMILAR = 5, 0.8
 #: Bands of samples: a pair at SIMILAR by the sampled weights shares none with probability (1 - SIMILAR**ROWS)**BANDS, 4 in 10 million; one at 2 / 3 by them, 2 in 1,000.
 BANDS, ROWS = 28, 4
-#: For sampling alone, shingles' document frequencies are counted in so many cells; a cell's count is at most the shingles of all texts / CELLS too high.
+#: For sampling alone, shingles' document frequencies are counted in so many cells; what the other shingles of a cell are sure to add is taken off again.
 CELLS = 1 << 18
 #: The sketch travels in so many parts, each summed in SALTS places first.
 PARTS, SALTS = 64, 16
-#: Weights are rounded to powers of e**(1 / STEPS).
+#: For sampling alone, weights are rounded to powers of e**(1 / STEPS).
 STEPS = 8
 #: Draws of the sampling; shingles share them by hash and are told apart by more bits of it.
 DRAWS = 1 << 12
-#: Rarities are from 1 to 2, so a sampled weight is from 1 / 2 to 1 of the true one, before both are rounded; like texts' sampled weights differ by no larger factor than this.
-ROOM = SIMILAR / 2 * float(np.exp(-2 / STEPS))
+#: Rarities are from 1 to 2, so a sampled weight is from 1 / 2 to 1 of the true one, before it is rounded; like texts' sampled weights differ by no larger factor than this.
+ROOM = SIMILAR / 2 * float(np.exp(-1 / STEPS))
 #: Members of a bucket whose pairs become rows; the pairs of a larger one are compared block by block.
 CLOSE = 32
 #: Members, and bytes of their shingles, of a block of a large bucket's members.
-BLOCK, BLOCK_BYTES = 128, 4 << 20
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Columns of the matrices by which two blocks are compared.
-WIDE = 4096
+WIDE = 2048
 
 
 def weighted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,8 +84,14 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return total.reshape(-1), n
 
 
+def at_most(total: np.ndarray) -> np.ndarray:
+    """Bounds of the document frequencies of each cell's shingles: its count without the least that the other shingles of a cell add, by the median cell less four deviations."""
+    middle = float(np.median(total))
+    return np.maximum(1, total - int(max(0.0, middle - 4 * np.sqrt(middle))))
+
+
 def rarity(frequency: np.ndarray, n: int) -> np.ndarray:
-    """Smoothed inverse document frequency of each cell, from 1 (in every text) to 2 (in one)."""
+    """Smoothed inverse document frequency, from 1 (in every text) to 2 (in one)."""
     return 1 + np.log((n + 1) / np.clip(frequency, 1, n + 1)) / np.log(n + 2)
 
 
@@ -311,42 +317,56 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def shingle_counts(texts: DataFrame) -> DataFrame:
-    """(shingle, held): in how many texts each shingle is; texts has one column."""
+    """(shingle, held): in how many texts each shingle is that is in more than one; texts has one column."""
     name = texts.columns[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, name, 2 << 20):
+        for part in slices(batches, name, 1 << 20):
             own, held = np.unique(weighted(*flat(column(part, name)))[0], return_counts=True)
             yield pa.record_batch([pa.array(own.astype(np.int64)), pa.array(held.astype(np.int64))], ["shingle", "held"])
 
-    return texts.mapInArrow(count, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
+    return texts.mapInArrow(count, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held")).where("held > 1")
 
 
 def weighed(chosen: DataFrame, counts: DataFrame, n: int) -> DataFrame:
-    """(_key, packed): the shingles of each text of chosen (_key, _text) with weights by the true document frequencies, as similarity takes them."""
+    """(_key, packed): the shingles of each text of chosen (_key, _text) with weights by the true document frequencies, as similarity takes them.
+
+    counts: as of shingle_counts, of n texts that hold all of chosen.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", 1 << 20):
             own, count, doc = weighted(*flat(column(part, "_text")))
-            yield pa.record_batch([column(part, "_key").take(pa.array(doc)), pa.array(own.astype(np.int64)), pa.array(count.astype(np.int64))], ["_key", "shingle", "times"])
+            yield pa.record_batch([column(part, "_key").take(pa.array(doc)), pa.array(own.astype(np.int64)), pa.array(count.astype(np.int32))], ["_key", "shingle", "times"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by text; the last text of a batch waits for the next one."""
+        key, waits = None, []
         for batch in batches:
-            lists = column(batch, "own")
-            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            shingle, weight = (lists.flatten().field(k).to_numpy() for k in ("shingle", "weight"))
-            whole = np.stack([shingle.view(np.uint64), weight.view(np.uint64)], axis=1)
-            yield pa.record_batch([column(batch, "_key"), pa.array([whole[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["_key", "packed"])
-
-    rare = 1 + F.log((n + 1) / F.col("held")) / float(np.log(n + 2))
-    rows = chosen.mapInArrow(split, "_key binary, shingle long, times long").join(counts, "shingle").select("_key", "shingle", F.exp(F.rint(F.log(F.col("times") * rare) * STEPS) / STEPS).alias("weight"))
-    return rows.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("shingle", "weight"))).alias("own")).mapInArrow(pack, "_key binary, packed binary")
+            keys = column(batch, "_key")
+            runs = pc.run_end_encode(keys)
+            ends, names = runs.run_ends.to_numpy(), runs.values.to_pylist()
+            whole = np.stack([column(batch, "shingle").to_numpy().view(np.uint64), column(batch, "weight").to_numpy().view(np.uint64)], axis=1)
+            done: tuple[list, list] = ([], [])
+            for name, a, b in zip(names, [0, *ends[:-1].tolist()], ends.tolist()):
+                if name != key and waits:
+                    done[0].append(key), done[1].append(b"".join(waits))
+                    waits = []
+                key = name
+                waits.append(whole[a:b].tobytes())
+            yield pa.record_batch([pa.array(done[0], pa.binary()), pa.array(done[1], pa.binary())], ["_key", "packed"])
+        if waits:
+            yield pa.record_batch([pa.array([key], pa.binary()), pa.array([b"".join(waits)], pa.binary())], ["_key", "packed"])
+
+    rare = 1 + F.log((n + 1) / F.coalesce("held", F.lit(1))) / float(np.log(n + 2))
+    rows = chosen.mapInArrow(split, "_key binary, shingle long, times int").join(counts, "shingle", "left").select("_key", "shingle", (F.col("times") * rare).alias("weight"))
+    return rows.repartition("_key").sortWithinPartitions("_key", "shingle").mapInArrow(pack, "_key binary, packed binary")
 
 
 def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(_id, _key) of all rows; and per text _key, its class's first row (struct of _id and _key) and its number of links."""
-    frequency, n = frequencies(keyed.select("_text"))
-    rare = rarity(frequency, n)
+    total, n = frequencies(keyed.select("_text"))
+    rare = rarity(at_most(total), n)
     id_type = keyed.schema["_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +385,8 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).unionByName(larges.select(F.col("node").alias("_key"))).distinct().join(texts.select("_key", "least_id"), "_key").withColumnRenamed("_key", "_want")
 
     chosen = keyed.join(wanted, (F.col("_key") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("least_id")), "left_semi").select("_key", "_text").dropDuplicates(["_key"])
-    sets = saved(weighed(chosen, shingle_counts(keyed.select("_text")), n))
+    counts = saved(shingle_counts(keyed.select("_text")))
+    sets = saved(weighed(chosen, counts, n))
     sided = pairs.join(sets.select(F.col("_key").alias("a"), F.col("packed").alias("x")), "a").join(sets.select(F.col("_key").alias("b"), F.col("packed").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

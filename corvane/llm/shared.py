@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of a batch of rows that Python workers get at most.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -82,7 +82,7 @@ def test_near_duplicates_like_brute_force(spark):
     found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     sets = [collections.Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for _, t in docs]
     frequency = collections.Counter(g for s in sets for g in s)
-    weight = lambda s, g: np.exp(np.rint(8 * np.log(s[g] * (1 + np.log((len(docs) + 1) / frequency[g]) / np.log(len(docs) + 2)))) / 8)
+    weight = lambda s, g: s[g] * (1 + np.log((len(docs) + 1) / frequency[g]) / np.log(len(docs) + 2))
     parent = list(range(len(docs)))
 
     def root(x):
@@ -100,11 +100,13 @@ def test_near_duplicates_like_brute_force(spark):
     assert found == {d: root(d) for d, _ in docs}
 
 
-def test_near_duplicates_of_large_buckets(spark):
+@pytest.mark.parametrize("copies", [40, 300])
+def test_near_duplicates_of_large_buckets(spark, monkeypatch, copies):
+    monkeypatch.setattr(neardup, "BLOCK", 64)  # several blocks a bucket
     rng = random.Random(11)
     base, chain = prose(300, 200).split(), [f"c{i}" for i in range(200)]
     docs = []
-    for _ in range(300):
+    for _ in range(copies):
         own = list(base)
         for _ in range(rng.choice([0, 1, 2, 4, 8])):
             own[rng.randrange(len(own))] = f"new{rng.random()}"
@@ -113,13 +115,14 @@ def test_near_duplicates_of_large_buckets(spark):
         docs.append((len(docs), " ".join(chain[: 200 - i] + [f"d{j}" for j in range(i)])))
     docs = list({t: d for d, t in docs}.items())
     rows = spark.createDataFrame([(d, t) for t, d in docs], "doc_id long, text string")
-    split = [neardup.weighted(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t, _ in docs]
-    held = collections.Counter(h for own, _, _ in split for h in own.tolist())
-    sets = [np.stack([own, np.exp(neardup.levels(count, neardup.rarity(np.array([held[h] for h in own.tolist()]), len(docs))) / neardup.STEPS).view(np.uint64)], axis=1) for own, count, _ in split]
+    sets = [collections.Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t, _ in docs]
+    held = collections.Counter(g for s in sets for g in s)
+    weights = [{g: c * (1 + np.log((len(docs) + 1) / held[g]) / np.log(len(docs) + 2)) for g, c in s.items()} for s in sets]
     links, edges = collections.Counter(), []
     for a in range(len(docs)):
         for b in range(a):
-            if neardup.similarity(sets[a], sets[b]) >= neardup.SIMILAR - 1e-9:
+            least = sum(min(w, weights[b][g]) for g, w in weights[a].items() if g in weights[b])
+            if least / (sum(weights[a].values()) + sum(weights[b].values()) - least) >= 0.8 - 1e-9:
                 links[docs[a][1]] += 1
                 links[docs[b][1]] += 1
                 edges.append((docs[a][1], docs[b][1]))
