@@ -8,7 +8,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +21,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 4
 #: For sampling alone, shingles' document frequencies are counted in so many cells; what the other shingles of a cell are sure to add is taken off again.
 CELLS = 1 << 18
-#: The sketch travels in so many parts, each summed in SALTS places first.
-PARTS, SALTS = 64, 16
+#: Text whose shingles are counted together before they go to the other machines.
+COUNTED = 8 << 20
 #: For sampling alone, weights are rounded to powers of e**(1 / STEPS).
 STEPS = 8
 #: Draws of the sampling; shingles share them by hash and are told apart by more bits of it.
@@ -49,39 +48,12 @@ def cells(shingle: np.ndarray) -> np.ndarray:
     return (shingle >> np.uint64(48 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Texts that hold a shingle of each cell, and the number of texts; texts has one column."""
-    name, width = texts.columns[0], CELLS // PARTS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(CELLS, np.int32), 0
-        for part in slices(batches, name, 1 << 20):
-            own, _, _ = weighted(*flat(column(part, name)))
-            total += np.bincount(cells(own), minlength=CELLS).astype(np.int32)
-            n += len(part)
-        if n:
-            squeeze = zstandard.ZstdCompressor(level=1)
-            salt = int(total.sum()) % SALTS
-            yield pa.record_batch([pa.array(np.arange(PARTS), pa.int32()), pa.array(np.full(PARTS, salt), pa.int32()), pa.array(np.where(np.arange(PARTS) == 0, n, 0), pa.int64()), pa.array([squeeze.compress(x.astype("<i8").tobytes()) for x in total.reshape(PARTS, width)], pa.binary())], ["part", "salt", "n", "counts"])
-
-    def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        for batch in groups:
-            for part, salt, n, counts in zip(*(column(batch, x).to_pylist() for x in ("part", "salt", "n", "counts"))):
-                own = held.setdefault((part, salt), [0, np.zeros(width, np.int64)])
-                own[0] += n
-                own[1] += np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), "<i8")
-        if held:
-            squeeze = zstandard.ZstdCompressor(level=1)
-            yield pa.record_batch([pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held], pa.int32()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([squeeze.compress(x[1].tobytes()) for x in held.values()], pa.binary())], ["part", "salt", "n", "counts"])
-
-    schema = "part int, salt int, n long, counts binary"
-    sums = texts.mapInArrow(count, schema).repartition(F.col("part"), F.col("salt")).mapInArrow(add, schema)
-    total, n = np.zeros((PARTS, width), np.int64), 0
-    for r in sums.collect():  # PARTS x SALTS rows, or fewer
-        total[r.part] += np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), "<i8")
-        n += r.n
-    return total.reshape(-1), n
+def frequencies(counts: DataFrame) -> np.ndarray:
+    """Of each cell the sum over its shingles of shingle_counts, CELLS numbers whatever the corpus."""
+    summed = counts.groupBy(F.shiftrightunsigned("shingle", 48 - CELLS.bit_length() + 1).cast("int").alias("cell")).agg(F.sum("held").alias("n")).toArrow()
+    total = np.zeros(CELLS, np.int64)
+    total[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    return total
 
 
 def at_most(total: np.ndarray) -> np.ndarray:
@@ -317,15 +289,32 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def shingle_counts(texts: DataFrame) -> DataFrame:
-    """(shingle, held): in how many texts each shingle is that is in more than one; texts has one column."""
+    """(shingle, held): in how many texts each shingle is that is in more than one; texts has one column.
+
+    Most shingles are in one text, so the engine's own sums before the shuffle would spare little
+    and spill: workers sum up COUNTED bytes of text at a time instead.
+    """
     name = texts.columns[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waits: list[np.ndarray] = []
+        size = 0
+
+        def summed() -> pa.RecordBatch:
+            own, held = np.unique(np.concatenate(waits), return_counts=True)
+            return pa.record_batch([pa.array(own.astype(np.int64)), pa.array(held.astype(np.int32))], ["shingle", "held"])
+
         for part in slices(batches, name, 1 << 20):
-            own, held = np.unique(weighted(*flat(column(part, name)))[0], return_counts=True)
-            yield pa.record_batch([pa.array(own.astype(np.int64)), pa.array(held.astype(np.int64))], ["shingle", "held"])
+            waits.append(weighted(*flat(column(part, name)))[0])
+            size += int(pc.sum(pc.binary_length(column(part, name))).as_py() or 0)
+            if size >= COUNTED:
+                yield summed()
+                waits, size = [], 0
+        if waits:
+            yield summed()
 
-    return texts.mapInArrow(count, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held")).where("held > 1")
+    dealt = texts.mapInArrow(count, "shingle long, held int").repartition("shingle")
+    return dealt.groupBy("shingle").agg(F.sum("held").alias("held")).where("held > 1")
 
 
 def weighed(chosen: DataFrame, counts: DataFrame, n: int) -> DataFrame:
@@ -365,8 +354,8 @@ def weighed(chosen: DataFrame, counts: DataFrame, n: int) -> DataFrame:
 
 def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(_id, _key) of all rows; and per text _key, its class's first row (struct of _id and _key) and its number of links."""
-    total, n = frequencies(keyed.select("_text"))
-    rare = rarity(at_most(total), n)
+    counts, n = saved(shingle_counts(keyed.select("_text"))), keyed.count()
+    rare = rarity(at_most(frequencies(counts)), n)
     id_type = keyed.schema["_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +374,6 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).unionByName(larges.select(F.col("node").alias("_key"))).distinct().join(texts.select("_key", "least_id"), "_key").withColumnRenamed("_key", "_want")
 
     chosen = keyed.join(wanted, (F.col("_key") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("least_id")), "left_semi").select("_key", "_text").dropDuplicates(["_key"])
-    counts = saved(shingle_counts(keyed.select("_text")))
     sets = saved(weighed(chosen, counts, n))
     sided = pairs.join(sets.select(F.col("_key").alias("a"), F.col("packed").alias("x")), "a").join(sets.select(F.col("_key").alias("b"), F.col("packed").alias("y")), "b")
 
