@@ -59,9 +59,10 @@ def give_back() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in runs of about ``most`` bytes of text; a longer text is a run of its own."""
+    """The rows of the batches in runs of about ``most`` bytes of text; a longer text is a run of its own. text: the column of texts, or of their sizes."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False)
+        own = column(batch, text)
+        sizes = pc.fill_null(own if pa.types.is_integer(own.type) else pc.binary_length(own), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         first = 0
         while first < len(ends):

@@ -14,15 +14,20 @@ from .labelled import fold, sample
 
 #: Examples of each label that the index holds at most.
 PER_CLASS = 3000
-#: Terms of the index: those that the examples tie to label 1 most.
-TERMS = 1024
-NEIGHBOURS = 15
+#: Neighbours that vote: one in SPREAD of the examples, within these bounds.
+FEWEST, NEIGHBOURS, SPREAD = 15, 256, 16
+#: Places that are left free vote for the share of label 1, as examples at this cosine would.
+FAR = 0.05
 #: Examples in a block.
 BLOCK = 64
-#: A term has to be so many times as frequent with label 1, in so many different texts; and its log-likelihood ratio one that of all terms seen some unrelated one reaches with this probability.
-LIFT, LEAST_TEXTS, CHANCE = 4.0, 3, 0.05
+#: Terms with the longest lists of postings: their lists are visited block by block, the others are short and read whole.
+LONG = 512
+#: Examples that the others are put in order by, so that blocks hold like ones.
+PIVOTS = 16
+#: Blocks of each text that are scored first, and texts that are scored together.
+FIRST, TOGETHER = 6, 128
 #: Bins of votes that calibration fits probabilities to; an example's like texts don't vote for it there.
-BINS = 10
+BINS = 20
 
 
 def term_counts(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,56 +45,116 @@ def term_counts(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hashed[first], count, doc[first], least
 
 
+def _alike(rows: np.ndarray) -> np.ndarray:
+    """An order that puts like rows side by side: by the nearest of a few pivots far from each other, then by nearness to it."""
+    near = np.zeros((len(rows), 0))
+    pivot = 0
+    for _ in range(min(PIVOTS, len(rows))):
+        near = np.column_stack([near, rows @ rows[pivot]])
+        pivot = int(near.max(1).argmin())
+    return np.lexsort((-near.max(1), near.argmax(1))) if len(rows) else np.zeros(0, np.int64)
+
+
 class Index:
-    """Postings by term, in blocks of BLOCK examples with the largest weight of each block.
+    """An inverted index of examples in blocks of BLOCK, with the largest weight of each long list in each block.
 
-    Vectors: (1 + ln tf) * idf over the index's terms, of length 1.
+    Vectors: (1 + ln tf) * idf over the index's terms, which are all terms of the examples, of length 1.
+    k: how many neighbours vote.
     """
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list[int], group: np.ndarray, weights: np.ndarray):
-        self.terms, self.idf, self.labels, self.ids, self.group, self.weights = terms, idf, labels, ids, group, weights
-        self.blocks = max(1, -(-len(rows) // BLOCK))
+        self.terms, self.idf, n = terms, idf, len(rows)
         which = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)])
-        owner = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
-        weight = np.concatenate([np.zeros(0), *(self.vector(t, n) for t, n in rows)])
-        order = np.lexsort((owner, which))
-        self.example, self.weight = owner[order], weight[order]
-        cell = which[order] * self.blocks + self.example // BLOCK
-        self.begin = np.searchsorted(cell, np.arange(len(terms) * self.blocks + 1))
-        self.most = np.zeros((len(terms), self.blocks))
-        np.maximum.at(self.most.reshape(-1), cell, self.weight)
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weight = (1 + np.log(counts)) * self.idf[terms]
-        norm = np.sqrt((weight * weight).sum())
-        return weight / norm if norm else weight
-
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine, example) of the NEIGHBOURS nearest examples with a common term; ties by example. A block whose bound cannot beat the last of them is not scored."""
-        query = self.vector(terms, counts)
-        bound = query @ self.most[terms]
-        cosines, found = np.zeros(0), np.zeros(0, np.int64)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(found) == NEIGHBOURS and bound[block] < cosines[-1] - 1e-12):
-                break
-            sums = np.zeros(BLOCK)
-            for t, q in zip(terms, query):
-                a, b = self.begin[t * self.blocks + block], self.begin[t * self.blocks + block + 1]
-                sums[self.example[a:b] - block * BLOCK] += q * self.weight[a:b]
-            own = np.flatnonzero(sums > 0) + block * BLOCK
+        owner = np.repeat(np.arange(n), [len(t) for t, _ in rows])
+        weight = self.vectors(owner, which, np.concatenate([np.zeros(0), *(c for _, c in rows)]), n)
+        held = np.bincount(which, minlength=len(terms))
+        long = np.argsort(-held, kind="stable")[: min(LONG, int((held > 0).sum()))]
+        self.long = np.full(len(terms), -1)
+        self.long[long] = np.arange(len(long))
+        dense, own = np.zeros((n, len(long))), self.long[which] >= 0
+        dense[owner[own], self.long[which[own]]] = weight[own]
+        self.number = _alike(dense)  # the example at each place
+        self.blocks = max(1, -(-n // BLOCK))
+        self.postings = np.zeros((self.blocks * BLOCK, len(long)))
+        self.postings[:n] = dense[self.number]
+        self.postings = self.postings.reshape(self.blocks, BLOCK, len(long))
+        self.most = self.postings.max(1)
+        place = np.empty(n, np.int64)
+        place[self.number] = np.arange(n)
+        own = np.flatnonzero(~own)
+        own = own[np.argsort(which[own], kind="stable")]
+        self.begin = np.searchsorted(which[own], np.arange(len(terms) + 1))
+        self.example, self.weight = place[owner[own]].astype(np.int32), weight[own]
+        self.labels, self.group, self.weights = labels[self.number], group[self.number], weights[self.number]
+        self.ids = [ids[i] for i in self.number.tolist()]
+        self.share = float(labels.mean()) if n else 0.5
+        self.k = max(FEWEST, min(NEIGHBOURS, n // SPREAD))
+
+    def vectors(self, owner: np.ndarray, which: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
+        weight = (1 + np.log(count)) * self.idf[which]
+        norm = np.sqrt(np.bincount(owner, weight * weight, texts))
+        return weight / np.where(norm > 0, norm, 1)[owner]
+
+    def nearest(self, owner: np.ndarray, which: np.ndarray, count: np.ndarray, texts: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, places), texts x k: of each text the nearest examples with a common term, the nearest first; ties by example, place -1 where there are no more.
+
+        owner (rising), which and count are the terms of the texts. A block whose bound cannot beat
+        the last of a text's neighbours is not scored for it. without: a text's group, whose
+        examples are left out.
+        """
+        weight = self.vectors(owner, which, count, texts)
+        cosines, places = np.zeros((texts, self.k)), np.full((texts, self.k), -1)
+        for a in range(0, texts, TOGETHER):
+            n = min(TOGETHER, texts - a)
+            i, j = np.searchsorted(owner, [a, a + n])
+            found = self._scored(owner[i:j] - a, which[i:j], weight[i:j], n, None if without is None else without[a : a + n])
+            last = self._last(found)
+            text, place = np.nonzero((found >= np.maximum(last, 1e-12)[:, None]) & (found > 0))
+            score = found[text, place]
+            order = np.lexsort((self.number[place], -score, text))
+            text, place, score = text[order], place[order], score[order]
+            rank = np.arange(len(text)) - np.searchsorted(text, text)
+            own = rank < self.k
+            cosines[a + text[own], rank[own]], places[a + text[own], rank[own]] = score[own], place[own]
+        return cosines, places
+
+    def _last(self, found: np.ndarray) -> np.ndarray:
+        """The k-th largest cosine of each text."""
+        at = found.shape[1] - min(self.k, found.shape[1])
+        return np.partition(found, at, 1)[:, at]
+
+    def _scored(self, owner: np.ndarray, which: np.ndarray, weight: np.ndarray, texts: int, without: np.ndarray | None) -> np.ndarray:
+        """Cosines (texts x places) of all blocks that could hold a neighbour; -1 elsewhere."""
+        size = self.blocks * BLOCK
+        own = self.long[which] >= 0
+        query = np.zeros((texts, self.most.shape[1]))
+        query[owner[own], self.long[which[own]]] = weight[own]
+        own = np.flatnonzero(~own)
+        begin, lists = self.begin[which[own]], self.begin[which[own] + 1] - self.begin[which[own]]
+        at = np.repeat(begin - np.cumsum(lists) + lists, lists) + np.arange(lists.sum())
+        short = np.bincount(np.repeat(owner[own], lists) * size + self.example[at], np.repeat(weight[own], lists) * self.weight[at], texts * size).reshape(texts, self.blocks, BLOCK)
+        bound = query @ self.most.T + short.max(2)
+        found = np.full((texts, self.blocks, BLOCK), -1.0)
+        todo = np.zeros((texts, self.blocks), bool)
+        np.put_along_axis(todo, np.argsort(-bound, 1, kind="stable")[:, :FIRST], True, 1)
+        done = np.zeros_like(todo)
+        while todo.any():
+            for b in np.flatnonzero(todo.any(0)):
+                t = np.flatnonzero(todo[:, b])
+                found[t, b] = np.round(query[t] @ self.postings[b].T + short[t, b], 10)
+            done |= todo
+            flat = found.reshape(texts, size)
             if without is not None:
-                own = own[self.group[own] != without]
-            cosines, found = np.append(cosines, np.round(sums[own - block * BLOCK], 12)), np.append(found, own)
-            best = np.lexsort((found, -cosines))[:NEIGHBOURS]
-            cosines, found = cosines[best], found[best]
-        return cosines, found
+                flat[:, : len(self.group)][self.group[None, :] == without[:, None]] = -1
+            todo = ~done & (bound >= np.maximum(self._last(flat), 0)[:, None] - 1e-9) & (bound > 0)
+        return found.reshape(texts, size)
 
-    def vote(self, cosines: np.ndarray, found: np.ndarray) -> float:
-        """Share of label 1 among the neighbours, by nearness and by how many rows an example stands for; places left free vote at distance 1 for label 0."""
-        near = 1 / (1.05 - cosines)
-        label = self.labels[found] == 1
-        free = (NEIGHBOURS - len(found)) * 0.25
-        return float(near[label].sum() / (near.sum() + free)) if len(found) else 0.0
+    def votes(self, cosines: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Share of label 1 among each text's neighbours, each weighing the square of its cosine."""
+        near, free = cosines * cosines, (places < 0).sum(1) * FAR**2
+        label = np.append(self.labels, 0)[places]
+        total = near.sum(1) + free
+        return ((near * label).sum(1) + free * self.share) / np.where(total > 0, total, 1)
 
 
 def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,31 +173,6 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
     return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def _choose_terms(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Up to TERMS hashes tied to label 1, counted over groups of like texts."""
-    sides, totals = [], []
-    for k in (0, 1):
-        own = np.flatnonzero(labels == k)
-        totals.append(max(1, len(np.unique(group[own]))))
-        term = np.concatenate([np.zeros(0, np.uint64), *(rows[i][0] for i in own)])
-        of = np.repeat(group[own], [len(rows[i][0]) for i in own])
-        order = np.lexsort((of, term))
-        new = np.ones(len(term), bool)
-        new[1:] = (term[order][1:] != term[order][:-1]) | (of[order][1:] != of[order][:-1])
-        sides.append(dict(zip(*(x.tolist() for x in np.unique(term[order][new], return_counts=True)))))
-    chosen, least_ratio = [], 2 * np.log(max(1, len(sides[1])) / CHANCE)
-    for term, a in sides[1].items():
-        b = sides[0].get(term, 0)
-        p, q = a / totals[1], (b + 0.5) / totals[0]
-        if a < LEAST_TEXTS or p < LIFT * q:
-            continue
-        both = (a + b) / (totals[0] + totals[1])
-        ratio = 2 * (a * np.log(p / both) + (b * np.log(b / totals[0] / both) if b else 0))
-        if ratio >= least_ratio:
-            chosen.append((-ratio, term))
-    return np.array(sorted(x for _, x in sorted(chosen)[:TERMS]), np.uint64)
-
-
 def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str, text_col: str) -> tuple[Index | None, tuple[np.ndarray, np.ndarray], float]:
     chosen, counts = sample(docs, labels, label, folds, held_out, per_class, id_col, text_col)
 
@@ -150,82 +190,85 @@ def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     prior = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
     rows = [(np.frombuffer(r.terms, np.uint64), np.frombuffer(r.counts, "<i4")) for r in found]
     group = np.array([r.least for r in found], np.int64).astype(np.uint64) if found else np.zeros(0, np.uint64)
-    terms = _choose_terms(rows, known, group)
+    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for t, _ in rows)]))
     if not len(terms):
         return None, (np.zeros(1), np.full(1, prior)), prior
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(terms), np.int64), 0
         for part in slices(batches, "_text", 1 << 20):
-            points, at = codepoints(*flat(column(part, "_text")))
-            hashed, doc = letter_words(points, at)
-            place = np.minimum(np.searchsorted(terms, hashed), len(terms) - 1)
-            own = terms[place] == hashed
-            pairs = np.unique(doc[own] * len(terms) + place[own])
-            total += np.bincount(pairs % len(terms), minlength=len(terms))
+            owner, which, _ = _known(terms, column(part, "_text"))
+            total += np.bincount(which, minlength=len(terms))
             n += len(part)
-        yield pa.record_batch([pa.array(np.arange(-1, len(terms)), pa.int32()), pa.array(np.append(n, total))], ["term", "n"])
-
-    counted = docs.select(F.col(text_col).alias("_text")).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    by = {r.term: r.n for r in counted}
-    idf = np.array([np.log((1 + by[-1]) / (1 + by.get(t, 0))) + 1 for t in range(len(terms))])
-    kept, own_rows = [], []
-    for i, (term, count) in enumerate(rows):
-        place = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
-        own = terms[place] == term
-        if own.any():
-            kept.append(i)
-            own_rows.append((place[own], count[own].astype(np.float64)))
+        own = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(own, -1), pa.int32()), pa.array(np.append(total[own], n))], ["term", "n"])
+
+    counted = docs.select(F.col(text_col).alias("_text")).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    held = counted.toArrow()  # a row for each term of the examples
+    term, n = (column(held.combine_chunks(), x).to_numpy() for x in ("term", "n"))
+    frequency = np.zeros(len(terms))
+    frequency[term[term >= 0]] = n[term >= 0]
+    idf = np.log((1 + n[term < 0].sum()) / (1 + frequency))
+    kept = [i for i, (t, _) in enumerate(rows) if len(t)]
+    own_rows = [(np.searchsorted(terms, rows[i][0]), rows[i][1].astype(np.float64)) for i in kept]
     of_label = np.bincount(known, minlength=2)
     scale = np.array([counts.get(k, 0) / max(1, of_label[k]) for k in (0, 1)])
     index = Index(terms, idf, own_rows, known[kept], [found[i].id for i in kept], group[kept], scale[known[kept]])
-    votes = np.array([index.vote(*index.nearest(*row, without=index.group[i])) for i, row in enumerate(own_rows)])
+    each = [own_rows[i] for i in index.number.tolist()]
+    owner = np.repeat(np.arange(len(each)), [len(t) for t, _ in each])
+    votes = index.votes(*index.nearest(owner, np.concatenate([t for t, _ in each]), np.concatenate([c for _, c in each]), len(each), without=index.group))
     without = np.setdiff1d(np.arange(len(rows)), kept)
     none = ((scale[known[without]] * known[without]).sum() + prior) / (scale[known[without]].sum() + 1)
     return index, calibrate(votes, index.labels.astype(float), index.weights), float(none)
 
 
-def _scored(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` as struct _row, held_out, score and evidence."""
+def _known(terms: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number (rising), place in ``terms`` and count of the distinct words of the texts that are among ``terms``."""
+    hashed, doc = letter_words(*codepoints(*flat(texts)))
+    hashed, back = np.unique(hashed, return_inverse=True)
+    place = np.minimum(np.searchsorted(terms, hashed), len(terms) - 1)
+    place = np.where(terms[place] == hashed, place, -1)[back]
+    own = place >= 0
+    pairs, count = np.unique(doc[own] * len(terms) + place[own], return_counts=True)
+    owner, which = np.divmod(pairs, len(terms))
+    return owner, which, count
+
+
+def _scored(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str, text_col: str, carry: list[str], below: float | None = None) -> DataFrame:
+    """The columns ``carry`` as struct _row, held_out, score and evidence; of rows with a score below ``below`` only, if that is given."""
     index, (places, chances), none = _index(docs, labels, label, folds, held_out, per_class, id_col, text_col)
     held = (fold(id_col, folds) == held_out).alias("_held")
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), held, F.col(text_col).alias("_text"))
+    inside = carry.index(text_col) if text_col in carry else None  # then the text goes to Python in _row only
+    text = F.col(text_col).alias("_text") if inside is None else F.octet_length(text_col).alias("_bytes")
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), held, text)
     row_type = wide.schema["_row"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, tuple[float, list[int]]] = {}
-        for part in slices(batches, "_text", 1 << 20):
+        for part in slices(batches, "_text" if inside is None else "_bytes", 1 << 20):
             chance, near = np.full(len(part), none), [[] for _ in range(len(part))]
             if index is not None:
-                points, at = codepoints(*flat(column(part, "_text")))
-                hashed, doc = letter_words(points, at)
-                place = np.minimum(np.searchsorted(index.terms, hashed), len(index.terms) - 1)
-                own = np.flatnonzero(index.terms[place] == hashed)
-                pairs, count = np.unique(doc[own] * len(index.terms) + place[own], return_counts=True)
-                owner, which = np.divmod(pairs, len(index.terms))
-                for i in np.unique(owner):
-                    a, b = np.searchsorted(owner, [i, i + 1])
-                    key = which[a:b].tobytes() + count[a:b].tobytes()
-                    if key not in memo:
-                        cosines, found = index.nearest(which[a:b], count[a:b].astype(np.float64))
-                        vote = index.vote(cosines, found)
-                        if len(memo) > 50_000:
-                            memo.clear()
-                        memo[key] = (float(np.interp(vote, places, chances)), [index.ids[j] for j in found[:5]])
-                    chance[i], near[i] = memo[key]
-            yield pa.record_batch([column(part, "_row"), column(part, "_held"), pa.array(np.clip(chance, 0, 1)), pa.array(near, pa.list_(pa.int64()))], ["_row", "held_out", "score", "evidence"])
+                owner, which, count = _known(index.terms, column(part, "_text") if inside is None else column(part, "_row").field(inside))
+                some, owner = np.unique(owner, return_inverse=True)
+                cosines, found = index.nearest(owner, which, count.astype(np.float64), len(some))
+                chance[some] = np.interp(index.votes(cosines, found), places, chances)
+                if below is None:
+                    for i, own in zip(some.tolist(), found[:, :5].tolist()):
+                        near[i] = [index.ids[j] for j in own if j >= 0]
+            out = pa.record_batch([column(part, "_row"), column(part, "_held"), pa.array(np.clip(chance, 0, 1)), pa.array(near, pa.list_(pa.int64()))], ["_row", "held_out", "score", "evidence"])
+            yield out if below is None else out.filter(pa.array(chance < below))
 
     return wide.mapInArrow(score, f"_row {row_type}, held_out boolean, score double, evidence array<long>")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, score (probability of label 1), predicted, evidence (ids of the nearest examples, nearest first).
-
-    The index holds ``per_class`` labelled rows of each label at most, none of the held-out fold;
-    document frequencies are counted over all rows; every whole text is scored. A text without
-    a term of the index (also an empty or null one) gets the share of label 1 among such examples.
-    Without usable examples all scores are the labels' share. Every row gives one row, also null
-    and repeated ids; other columns are ignored.
+    """id_col, held_out, score (probability of label 1), predicted, evidence (ids of the nearest examples of either label, nearest first).
+
+    The index holds ``per_class`` labelled rows of each label at most, none of the held-out fold,
+    with all their words; document frequencies are counted over all rows; every whole text is
+    scored. Words of no example are left out of a text's vector. A text without any of the
+    index's words (also an empty or null one) gets the share of label 1 among such examples.
+    Without usable examples all scores are the labels' share. Ids can be of any type that long
+    can hold. Every row gives one row, also null and repeated ids; other columns are ignored.
     """
     scored = _scored(docs, labels, label, folds, held_out, per_class, id_col, text_col, [id_col])
     return scored.select("_row.*", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
@@ -233,4 +276,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose score is below 0.5, all columns as they are."""
-    return _scored(docs, labels, label, folds, held_out, per_class, id_col, text_col, docs.columns).where("score < 0.5").select("_row.*")
+    return _scored(docs, labels, label, folds, held_out, per_class, id_col, text_col, docs.columns, below=0.5).select("_row.*")
