@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import BASE, column, flat, mix, slices
-from .shared import saved
+from .shared import join_counted, saved
 
 #: Bytes of a repeated string, and of its anchor (a power of two).
 LENGTH, GRAM = 200, 32
@@ -27,6 +27,8 @@ LENGTH, GRAM = 200, 32
 INDEXED = 1 << 19
 #: An anchor of more different spans is settled string by string, by counts of their digests.
 VARIANTS = 8192
+#: Stands between the spans of an index: no byte, so that no string runs over it.
+BETWEEN = 256
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,17 +106,22 @@ def common(a: np.ndarray, b: np.ndarray, text: np.ndarray, ranks: list[np.ndarra
 
 
 class RunIndex:
-    """The run-length index of a text: heads and ends of the runs of its Burrows-Wheeler transform."""
+    """The run-length index of a text: the runs of its Burrows-Wheeler transform, and samples at their heads and ends.
+
+    The text itself is not kept: matching statistics stream from the samples, and ``restored``
+    gives the text back from the runs.
+    """
 
     def __init__(self, text: np.ndarray):
-        self.text = text
+        self.size = n = len(text)
         order, ranks = suffix_array(text)
+        order = np.append(n, order)  # the empty suffix comes first
         before = np.where(order > 0, text[order - 1].astype(np.int16), -1)  # the transform; nothing stands before the whole text
         edge = np.flatnonzero(before[1:] != before[:-1]) + 1
-        heads, ends = np.concatenate([[0], edge]), np.concatenate([edge - 1, [len(text) - 1]])
-        #: runs: byte, length; samples: text positions of run heads and ends with their match lengths
+        heads, ends = np.concatenate([[0], edge]), np.concatenate([edge - 1, [n]])
         self.run_bytes, self.run_lengths = before[heads], ends - heads + 1
-        up, down = heads[heads > 0], ends[ends < len(text) - 1]
+        up, down = heads[heads > 0], ends[ends < n]
+        #: samples: text positions of run heads and ends with their match lengths
         self.head_at, self.end_at = order[up], order[down]
         self.head_match = common(order[up], order[up - 1], text, ranks)
         self.end_match = common(order[down], order[down + 1], text, ranks)
@@ -125,18 +132,26 @@ class RunIndex:
         The match with the suffix before (or after) a position's in order is one shorter than that
         of the position to its left, unless a run begins (ends) there: the samples give all.
         """
-        n = len(self.text)
-        best = np.zeros(n, np.int64)
+        best = np.zeros(self.size, np.int64)
         for at, match in ((self.head_at, self.head_match), (self.end_at, self.end_match)):
-            reach = np.zeros(n, np.int64)
+            reach = np.zeros(self.size + 1, np.int64)
             reach[at] = at + match
-            best = np.maximum(best, np.maximum.accumulate(reach) - np.arange(n))
+            best = np.maximum(best, (np.maximum.accumulate(reach) - np.arange(self.size + 1))[:-1])
         return best
 
+    def restored(self) -> np.ndarray:
+        """The text, from the runs alone."""
+        before = np.repeat(self.run_bytes, self.run_lengths)
+        after = np.argsort(before, kind="stable")  # the row of each row's next suffix
+        first, out, row = before[after], np.zeros(self.size, np.int16), after[0]
+        for k in range(self.size):
+            out[k], row = first[row], after[row]
+        return out
+
 
 def repeated_strings(spans: list[bytes], counts: list[int], strings: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """Per distinct span, the runs (from, to) of its first ``strings`` starts at which a string of ``length`` bytes begins that occurs twice: in a span that counts twice, or in two places of the spans."""
-    text = np.frombuffer(b"".join(x + b"\0" for x in spans), np.uint8)
+    text = np.concatenate([np.append(np.frombuffer(x, np.uint8).astype(np.int16), BETWEEN) for x in spans]) if spans else np.zeros(0, np.int16)
     long = RunIndex(text).matching_statistics() >= length if len(spans) > 1 else np.zeros(len(text), bool)
     out, at = [], 0
     for span, count, n in zip(spans, counts, strings):
@@ -169,8 +184,8 @@ def repeats(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([pa.array(hashed.astype(np.int64)), column(part, "_key").take(pa.array(doc)), pa.array(start, pa.int32()), pa.array(strings, pa.int32()), pa.array(place, pa.int32())], ["h", "_key", "start", "strings", "place"])
 
     found = saved(keyed.mapInArrow(anchors, "h long, _key binary, start int, strings int, place int"))
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    wanted = found.join(again, "h", "left_semi").distinct().groupBy("_key").agg(F.collect_list(F.struct("h", "start", "strings", "place")).alias("runs")).withColumnRenamed("_key", "_want")
+    again = saved(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    wanted = join_counted(found, again, "h", "n", found.count(), "left_semi").distinct().groupBy("_key").agg(F.collect_list(F.struct("h", "start", "strings", "place")).alias("runs")).withColumnRenamed("_key", "_want")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", 1 << 20):
@@ -194,8 +209,8 @@ def repeats(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     cuts = keyed.join(wanted, F.col("_key") == F.col("_want")).select("_key", "_text", "runs")
     spans = saved(cuts.mapInArrow(cut, "name binary, h long, strings int, _key binary, start int, span binary"))
     distinct = saved(spans.groupBy("name", "h", "strings").agg(F.count(F.lit(1)).alias("n")))
-    kinds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("strings") + length).alias("bytes"))
-    sorted_out = saved(distinct.join(kinds, "h"))
+    kinds = saved(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")))
+    sorted_out = saved(join_counted(distinct, kinds, "h", "kinds", distinct.count()))
     # one span alone under its anchor: its strings repeat if it occurs twice
     alone = sorted_out.where((F.col("kinds") == 1) & (F.col("n") > 1)).select("name", F.array(F.struct(F.lit(0).alias("a"), F.col("strings").alias("b"))).alias("ranges"))
     several = sorted_out.where((F.col("kinds") > 1) & (F.col("kinds") <= VARIANTS))

@@ -41,6 +41,21 @@ def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are joined by sending them to all tasks, at most.
+HOT_KEYS = 100_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key; a key of more than total / HOT_KEYS rows goes to all tasks.
+
+    count: right's column with the number of left's rows that have the key, ``total`` in all, so
+    that HOT_KEYS keys at most are sent to all tasks and any other is a small share of a shuffle.
+    """
+    hot = F.broadcast(right.where(F.col(count) * HOT_KEYS > total))
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(hot, key, how).unionByName(rest.join(right.where(F.col(count) * HOT_KEYS <= total), key, how))
+
+
 def rank_in_group(df: DataFrame, group: list[str], order: list[str], salts: int, name: str = "rank") -> DataFrame:
     """Adds a gapless 0-based rank within each group, whose rows are dealt to ``salts`` cells.
 
