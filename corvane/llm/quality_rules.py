@@ -67,7 +67,7 @@ RULES = ("length", "word_length", "symbols", "letters", "bare", "lines", "window
 
 
 def rules() -> dict[str, Column]:
-    """Rule name -> vote, from the counts of base_counts."""
+    """Rule name -> vote, from the counts of base_counts. Different words are held against the square root of all, so that variety means the same at every length."""
     c = {x: F.col(x) for x in ("n_words", "word_chars", "n_symbols", "n_other", "n_bare", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct")}
 
     def vote(good: Column, bad: Column) -> Column:
@@ -81,7 +81,7 @@ def rules() -> dict[str, Column]:
         "bare": vote(100 * c["n_bare"] <= 5 * c["n_words"], 100 * c["n_bare"] > 20 * c["n_words"]),
         "lines": vote(c["n_dup_lines"] == 0, 2 * c["n_dup_lines"] > c["n_lines"]),
         "windows": vote(100 * c["n_repeat_words"] <= 5 * c["n_words"], 100 * c["n_repeat_words"] > 20 * c["n_words"]),
-        "variety": vote(10 * c["n_distinct"] >= 3 * c["n_words"], (10 * c["n_distinct"] < c["n_words"]) & (c["n_words"] < 2000)),
+        "variety": vote(c["n_distinct"] * c["n_distinct"] >= 9 * c["n_words"], c["n_distinct"] * c["n_distinct"] < 2 * c["n_words"]),
     }
 
 
@@ -168,7 +168,7 @@ v AS (
     CASE WHEN 100 * n_bare > 20 * n_words THEN -1 WHEN 100 * n_bare <= 5 * n_words THEN 1 ELSE 0 END AS vote_bare,
     CASE WHEN 2 * n_dup_lines > n_lines THEN -1 WHEN n_dup_lines = 0 THEN 1 ELSE 0 END AS vote_lines,
     CASE WHEN 100 * n_repeat_words > 20 * n_words THEN -1 WHEN 100 * n_repeat_words <= 5 * n_words THEN 1 ELSE 0 END AS vote_windows,
-    CASE WHEN 10 * n_distinct < n_words AND n_words < 2000 THEN -1 WHEN 10 * n_distinct >= 3 * n_words THEN 1 ELSE 0 END AS vote_variety
+    CASE WHEN n_distinct * n_distinct < 2 * n_words THEN -1 WHEN n_distinct * n_distinct >= 9 * n_words THEN 1 ELSE 0 END AS vote_variety
   FROM c),
 s AS (SELECT *, [{slots}] AS slots FROM v),
 p AS (SELECT slots, count(*)::double AS n FROM s GROUP BY slots),
