@@ -17,7 +17,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     """(_id, _label, _text) of ``per_class`` rows at most of each label, without the held-out fold; how many rows each label has there.
 
     The rows of each label are those of the least hashes of their ids, so that the sample is the
-    same however the tables are dealt out. Rows whose id or label is null are left out.
+    same however the tables are dealt out. Rows whose id or label is null are left out; an id with
+    both labels counts for each; of several texts of an id the least one is taken.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1)).withColumn("_id2", F.col("_id"))
@@ -25,4 +26,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     counts = {int(k): int(n) for k, n in known.groupBy("_label").count().collect()}
     parts = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for k in (0, 1)]
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return texts.join(F.broadcast(parts[0].unionByName(parts[1])), "_id").select("_id", "_label", "_text"), counts
+    return texts.join(F.broadcast(parts[0].unionByName(parts[1])), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")), counts

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept, shared_dir
 
 #: Bytes of a batch of rows that Python workers get at most.
 BATCH_BYTES = 4 << 20
@@ -22,23 +22,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``; only where that is unset (tests), in a local one."""
+    """The name of a new folder in the folder that the cluster's machines share."""
     small_batches(spark)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-            made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = made.get()
-    return f"{base.rstrip('/')}/corvane-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return kept(df)
 
 
 #: Keys that are joined by sending them to all tasks, at most.
