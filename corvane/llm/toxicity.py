@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import codepoints, column, flat, letter_words, shingles, slices
+from .arrowtext import codepoints, column, flat, give_back, letter_words, shingles, slices
 from .labelled import fold, sample
 
 #: Examples of each label that the index holds at most.
@@ -69,21 +69,20 @@ class Index:
         weight = self.vectors(owner, which, np.concatenate([np.zeros(0), *(c for _, c in rows)]), n)
         held = np.bincount(which, minlength=len(terms))
         long = np.argsort(-held, kind="stable")[: min(LONG, int((held > 0).sum()))]
-        self.long = np.full(len(terms), -1)
+        self.long = np.full(len(terms), -1, np.int16)
         self.long[long] = np.arange(len(long))
-        dense, own = np.zeros((n, len(long))), self.long[which] >= 0
+        self.blocks, own = max(1, -(-n // BLOCK)), self.long[which] >= 0
+        dense = np.zeros((self.blocks * BLOCK, len(long)))
         dense[owner[own], self.long[which[own]]] = weight[own]
-        self.number = _alike(dense)  # the example at each place
-        self.blocks = max(1, -(-n // BLOCK))
-        self.postings = np.zeros((self.blocks * BLOCK, len(long)))
-        self.postings[:n] = dense[self.number]
-        self.postings = self.postings.reshape(self.blocks, BLOCK, len(long))
+        self.number = _alike(dense[:n])  # the example at each place
+        dense[:n] = dense[self.number]
+        self.postings = dense.reshape(self.blocks, BLOCK, len(long))
         self.most = self.postings.max(1)
         place = np.empty(n, np.int64)
         place[self.number] = np.arange(n)
         own = np.flatnonzero(~own)
         own = own[np.argsort(which[own], kind="stable")]
-        self.begin = np.searchsorted(which[own], np.arange(len(terms) + 1))
+        self.begin = np.searchsorted(which[own], np.arange(len(terms) + 1)).astype(np.int32)
         self.example, self.weight = place[owner[own]].astype(np.int32), weight[own]
         self.labels, self.group, self.weights = labels[self.number], group[self.number], weights[self.number]
         self.ids = [ids[i] for i in self.number.tolist()]
@@ -210,15 +209,21 @@ def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     frequency[term[term >= 0]] = n[term >= 0]
     idf = np.log((1 + n[term < 0].sum()) / (1 + frequency))
     kept = [i for i, (t, _) in enumerate(rows) if len(t)]
-    own_rows = [(np.searchsorted(terms, rows[i][0]), rows[i][1].astype(np.float64)) for i in kept]
+    own_rows = [(np.searchsorted(terms, rows[i][0]).astype(np.int32), rows[i][1]) for i in kept]
     of_label = np.bincount(known, minlength=2)
     scale = np.array([counts.get(k, 0) / max(1, of_label[k]) for k in (0, 1)])
     index = Index(terms, idf, own_rows, known[kept], [found[i].id for i in kept], group[kept], scale[known[kept]])
-    each = [own_rows[i] for i in index.number.tolist()]
-    owner = np.repeat(np.arange(len(each)), [len(t) for t, _ in each])
-    votes = index.votes(*index.nearest(owner, np.concatenate([t for t, _ in each]), np.concatenate([c for _, c in each]), len(each), without=index.group))
+    give_back()
+    votes = []
+    for at in range(0, len(kept), TOGETHER):
+        each = [own_rows[i] for i in index.number[at : at + TOGETHER].tolist()]
+        owner = np.repeat(np.arange(len(each)), [len(t) for t, _ in each])
+        votes.append(index.votes(*index.nearest(owner, np.concatenate([t for t, _ in each]), np.concatenate([c for _, c in each]), len(each), without=index.group[at : at + TOGETHER])))
+    votes = np.concatenate(votes)
     without = np.setdiff1d(np.arange(len(rows)), kept)
     none = ((scale[known[without]] * known[without]).sum() + prior) / (scale[known[without]].sum() + 1)
+    del rows, own_rows, found, held
+    give_back()
     return index, calibrate(votes, index.labels.astype(float), index.weights), float(none)
 
 
