@@ -15,6 +15,8 @@ from ..schemas import CHUNK_COLUMNS
 
 # Longest chunk, window and overlap in lines; rows that a node has to span.
 MOST_LINES, WINDOW, OVERLAP, LEAST_SPAN = 80, 60, 15, 2
+# Fixed value: the name of a file that is one chunk.
+MODULE = "module"
 
 
 def window_split(chunks: DataFrame, most: int = MOST_LINES, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
@@ -32,7 +34,7 @@ def window_split(chunks: DataFrame, most: int = MOST_LINES, window: int = WINDOW
     parts = cut.withColumn("_parts", F.size(starts)).select("*", F.posexplode(starts).alias("_i", "_at"))
     whole = F.col("_at") < 0
     label = F.format_string("part %d/%d", F.col("_i") + 1, F.col("_parts"))
-    name = F.when(F.nullif("name", F.lit("")).isNull(), F.concat(F.lit("("), label, F.lit(")"))).otherwise(F.concat("name", F.lit(" ("), label, F.lit(")")))
+    name = F.when(F.nullif("name", F.lit("")).isNull(), label).otherwise(F.concat("name", F.lit(" ("), label, F.lit(")")))
     changed = {
         "content": F.when(whole, F.col("content")).otherwise(F.array_join(F.slice("_lines", F.col("_at") + 1, window), "\n")),
         "context_prefix": F.when(whole, F.col("context_prefix")).otherwise(F.concat("context_prefix", F.lit(" > "), label)),
@@ -43,10 +45,10 @@ def window_split(chunks: DataFrame, most: int = MOST_LINES, window: int = WINDOW
     return parts.select(*[changed.get(c, F.col(c)).cast(chunks.schema[c].dataType).alias(c) for c in chunks.columns])
 
 
-#: Chunk kinds by declaration keyword; class-like ones are entered, the others are not.
+#: Chunk kinds by declaration keyword; class-like ones are entered, the others are not. An export statement is a chunk without a name, whatever it exports.
 KEYWORDS = {
-    "javascript": (r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)?|(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>|(?:static\s+|async\s+|get\s+|set\s+)*(?!if|for|while|switch|catch|return)(\w+)\s*\([^)]*\)\s*\{"),
-    "java": (r"(?:[\w@]+\s+)*(?:class|enum)\s+(\w+)", r"(?:[\w@]+\s+)*interface\s+(\w+)|(?:public|private|protected|static|final|abstract|synchronized|[\w<>\[\],.?]+)\s+(?:[\w<>\[\],.?]+\s+)*(?!if|for|while|switch|catch|new|return)(\w+)\s*\([^;{]*\)\s*(?:throws[\w,.\s]+)?\{"),
+    "javascript": (r"(?:abstract\s+)?class\s+(\w+)", r"export\b|(?:async\s+)?function\s*\*?\s*(\w+)?|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>|(?:static\s+|async\s+|get\s+|set\s+)*(?!if|for|while|switch|catch|return)(\w+)\s*\([^)]*\)\s*\{"),
+    "java": (r"(?:[\w@]+\s+)*class\s+(\w+)", r"(?:[\w@]+\s+)*(?:interface|enum)\s+(\w+)|(?:public|private|protected|static|final|abstract|synchronized|[\w<>\[\],.?]+)\s+(?:[\w<>\[\],.?]+\s+)*(?!if|for|while|switch|catch|new|return)(\w+)\s*\([^;{]*\)\s*(?:throws[\w,.\s]+)?\{"),
     "go": (r"(?!)", r"func\s+(?:\([^)]*\)\s*)?(\w+)|type\s+(\w+)\s+(?:struct|interface)"),
     "rust": (r"(?!)", r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)|(?:pub(?:\([^)]*\))?\s+)?(?:struct|trait|enum)\s+(\w+)|(?:unsafe\s+)?impl(?:<[^>]*>)?\s+([\w:<>, ]+?)\s*\{"),
     "cpp": (r"class\s+(\w+)[^;]*\{", r"struct\s+(\w+)[^;]*\{|[\w:<>*&~,\s]+?([\w:~]+)\s*\([^;{]*\)\s*(?:const\s*)?(?:noexcept\s*)?\{"),
@@ -147,7 +149,7 @@ def _ruby(source: str) -> list[Found]:
 def chunk_source(path: str, source: str, language: str) -> list[tuple]:
     """Chunk rows (path, language, kind, name, parent, first and last row, text) of one file; a file without a structured chunk is one module chunk, a blank one none.
 
-    Rows count from 0. Nodes of fewer than three rows are entered but not emitted. Python is parsed
+    Rows count from 0, texts begin at the declaration itself. Nodes of fewer than three rows are entered but not emitted. Python is parsed
     exactly; for the other languages declarations are found by keywords and matching braces (or
     ends), which takes plain functions of every language in and calls what is in a class its own.
     """
@@ -156,9 +158,9 @@ def chunk_source(path: str, source: str, language: str) -> list[tuple]:
     except (SyntaxError, ValueError, RecursionError):
         found = []
     rows = source.split("\n")
-    out = [(path, language, kind, name, parent, a, b, "\n".join(rows[a : b + 1])) for kind, name, parent, a, b in found if b - a >= LEAST_SPAN]
+    out = [(path, language, kind, name, parent, a, b, "\n".join(rows[a : b + 1]).lstrip(" \t")) for kind, name, parent, a, b in found if b - a >= LEAST_SPAN]
     if not out and source.strip():
-        out = [(path, language, "module", None, None, 0, source.count("\n"), source)]
+        out = [(path, language, "module", MODULE, None, 0, source.count("\n"), source)]
     return out
 
 
@@ -172,5 +174,6 @@ def chunk_files(files: DataFrame) -> DataFrame:
 
     usable = files.where(F.col("source").isNotNull() & F.col("language").isNotNull()).select("file_path", unified_newlines(F.col("source")).alias("source"), "language")
     found = usable.mapInPandas(run, "file_path string, language string, chunk_type string, name string, parent string, start_line int, end_line int, content string")
-    named = found.withColumn("context_prefix", context_prefix(F.col("file_path"), F.col("parent"), F.col("name")))
+    shown = F.when(F.col("chunk_type") != "module", F.col("name"))  # a module's prefix is its path alone
+    named = found.withColumn("context_prefix", context_prefix(F.col("file_path"), F.col("parent"), shown))
     return window_split(named.select(*CHUNK_COLUMNS))

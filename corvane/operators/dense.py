@@ -13,6 +13,8 @@ from .ranking import top
 
 #: Vectors in a block of the searched table, and of the queries.
 BLOCK, QUERY_BLOCK = 8192, 1024
+#: Queries that are sent to all tasks at most, and groups of the vectors' blocks that more are dealt to.
+BROADCAST_QUERIES, GROUPS = 20_000, 64
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -41,10 +43,16 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 20, qid: str = "
 
     Each block of queries meets each block of vectors in one matrix product, of which k rows a
     query go on. Scores are rounded to 6 places, ties go by ident. Null vectors are left out.
+    The queries' blocks are sent to all tasks if they are counted to be few; else both sides'
+    blocks are dealt out, each of the queries' to every group of the vectors'.
     """
-    asked = _blocks(queries, qid, query_vector or vector, QUERY_BLOCK, "q").withColumn("_q", F.monotonically_increasing_id())
+    asked = _blocks(queries, qid, query_vector or vector, QUERY_BLOCK, "q")
     held = _blocks(vectors, ident, vector, BLOCK, "v")
-    met = held.crossJoin(asked)
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        met = held.join(F.broadcast(asked))
+    else:
+        groups = F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))
+        met = held.withColumn("_g", F.pmod(F.xxhash64("v_ids"), F.lit(GROUPS))).join(asked.withColumn("_g", groups.cast("long")), "_g")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,10 +71,11 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 20, qid: str = "
     return top(met.mapInArrow(search, f"`{qid}` long, `{ident}` long, score double"), [qid], [F.col("score").desc(), F.col(ident)], k)
 
 
-def approximate_top(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = 16, planes: int = 6, seed: int = 11, qid: str = "qid", ident: str = "vec_id", vector: str = "embedding", query_vector: str | None = None) -> DataFrame:
+def approximate_top(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = 24, planes: int = 4, seed: int = 11, qid: str = "qid", ident: str = "vec_id", vector: str = "embedding", query_vector: str | None = None) -> DataFrame:
     """As cosine_top, but only vectors are compared that share one of ``tables`` sketches of ``planes`` signs with the query.
 
-    Every vector is indexed; measure the recall against cosine_top for the data at hand.
+    Every vector is indexed. With the defaults the recall of the 20 nearest of the driver's
+    ``embeddings`` is above 0.9 (a test measures it); measure it for other data.
     """
     rng = np.random.default_rng(seed)
     dims = len(vectors.where(F.col(vector).isNotNull()).select(vector).first()[0])

@@ -31,11 +31,13 @@ def embed(df: DataFrame, id_col: str, text: Column, out: str = "vector") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.zeros((len(batch), DIMENSIONS))
-            for row, terms in zip(rows, batch.column(1).to_pylist()):
-                for dim, sign in map(_place, terms):
-                    row[dim] += sign
-            yield pa.record_batch([batch.column(0), pa.array(list(rows), pa.list_(pa.float64()))], [id_col, out])
+            terms = batch.column(1)
+            coded = terms.flatten().dictionary_encode()
+            places = np.array([_place(x) for x in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)[coded.indices.to_numpy()]
+            owner = np.repeat(np.arange(len(batch)), np.diff(terms.offsets.to_numpy()))
+            rows = np.bincount(owner * DIMENSIONS + places[:, 0], places[:, 1], len(batch) * DIMENSIONS)
+            ends = pa.array(np.arange(len(batch) + 1) * DIMENSIONS, pa.int32())
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(rows))], [id_col, out])
 
     return df.select(F.col(id_col).cast("long").alias(id_col), tokens(text)).mapInArrow(run, f"`{id_col}` long, `{out}` array<double>")
 

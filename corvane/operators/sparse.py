@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -26,13 +26,24 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, tokens(F.col(text_col)).alias("terms")).select(id_col, F.size("terms").cast("long").alias("dl"), "terms")
 
 
+def idf(counts: DataFrame, ndocs: Column) -> DataFrame:
+    """(term, df, idf) of (term, df); an idf below zero is EPSILON times the mean of all, negative ones included."""
+    raw = counts.select("term", "df", (F.ln(ndocs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
+    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
 def term_stats(tokened: DataFrame) -> DataFrame:
-    """(term, df, idf) of the vocabulary; an idf below zero is EPSILON times the mean of all, negative ones included."""
-    size = tokened.agg(F.count(F.lit(1)).alias("ndocs"))
+    """(term, df, idf) of the vocabulary of tokenized documents."""
+    size = tokened.agg(F.count(F.lit(1)).alias("ndocs"))  # one row
     counts = tokened.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = counts.join(F.broadcast(size)).select("term", "df", (F.ln(F.col("ndocs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return idf(counts.join(F.broadcast(size)), F.col("ndocs"))
+
+
+def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, dl, term, f) of every document with tokens."""
+    tokened = tokenized(docs, id_col, text_col)
+    return tokened.select(id_col, "dl", F.explode("terms").alias("term")).groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("f"))
 
 
 @dataclass
@@ -44,17 +55,25 @@ class SparseIndex:
     totals: DataFrame
     id_col: str
 
+    @classmethod
+    def of(cls, postings: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> SparseIndex:
+        """The index of the postings of docs; both are read several times, so they should be stored."""
+        size = docs.agg(F.count(F.lit(1)).alias("ndocs"))  # one row
+        totals = postings.agg(F.sum("f").alias("all")).join(F.broadcast(size)).select("ndocs", (F.coalesce("all", F.lit(0)) / F.col("ndocs")).alias("avgdl"))
+        counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return cls(postings, idf(counts.join(F.broadcast(size)), F.col("ndocs")), totals, id_col)
+
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SparseIndex:
-        tokened = tokenized(docs, id_col, text_col)
-        postings = tokened.select(id_col, "dl", F.explode("terms").alias("term")).groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("f"))
-        return cls(postings, term_stats(tokened), tokened.agg(F.count(F.lit(1)).alias("ndocs"), F.avg("dl").alias("avgdl")), id_col)
+        return cls.of(postings_of(docs, id_col, text_col), docs, id_col)
 
     def write(self, path: str) -> None:
-        """Postings sorted by term, so that a query reads the row groups of its terms."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        """Postings and terms sorted by term, so that a query reads the row groups of its terms; a term of very many documents spans files."""
+        spark = self.postings.sparkSession
+        self.postings.sort("term", self.id_col).write.mode("overwrite").parquet(f"{path}/postings")
+        stored = SparseIndex(spark.read.parquet(f"{path}/postings"), self.terms, self.totals, self.id_col)
+        stored.terms.sort("term").write.mode("overwrite").parquet(f"{path}/terms")
+        stored.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
     @classmethod
     def read(cls, spark, path: str, id_col: str = "doc_id") -> SparseIndex:
@@ -67,7 +86,9 @@ class SparseIndex:
         (the corpus order; the id by default). Queries without tokens have no rows.
         """
         asked = queries.select(qid, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qf"))
-        weighted = small(asked.join(self.terms.select("term", "idf"), "term"))
+        few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        known = self.terms.select("term", "idf")
+        weighted = F.broadcast(known.join(F.broadcast(asked), "term")) if few else known.join(asked, "term")  # a row of asked gives one at most
         hits = self.postings.join(weighted, "term").join(F.broadcast(self.totals))
         norm = F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
         scored = hits.groupBy(qid, self.id_col).agg(F.round(F.sum(F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / norm), 6).alias("score"))

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.decode import answer_prefix
 from ..operators import delta, evaluate, providers, ranking, retrieve, sparse
-from ..operators.chunk import window_split
+from ..operators.chunk import chunk_files, window_split
 from ..operators.dense import cosine_top
 from ..sources.files import code_paths
-from ..streaming.conversation import last_turns
-from ..streaming.progress import latest, throttled
+from ..streaming.conversation import deltas, last_turns
+from ..streaming.progress import latest, replayed, throttled
 from ..streaming.pushes import pushes
 from .oracles import ORACLES as ORACLES
+from .stored import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,18 +31,35 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_no"), F.format_string("%s/doc%d.txt", "source", "doc_id").alias("file_path"), F.lit(0).alias("start_line"), (F.regexp_count("text", F.lit("\n"))).alias("end_line"), F.col("text").alias("content"), F.format_string("%s/doc%d.txt", "source", "doc_id").alias("context_prefix"))
 
 
+def _documents_index(spark, sf_dir) -> retrieve.Stored:
+    """Documents by doc_id: postings of their texts, and (doc_id, vector)."""
+    docs = lambda: table(spark, sf_dir, "documents")
+    return stored(spark, f"{sf_dir}/documents.parquet", "documents", "doc_id", lambda: sparse.postings_of(docs()), docs, lambda: providers.embed(docs(), "doc_id", F.col("text")))
+
+
+def _chunks_index(spark, sf_dir) -> retrieve.Stored:
+    """chunk_table by chunk_no, prefixes included."""
+    chunks = lambda: chunk_table(spark, sf_dir)
+    return stored(spark, f"{sf_dir}/documents.parquet", "chunks", "chunk_no", lambda: sparse.postings_of(retrieve.sparse_texts(chunks()), "chunk_no"), chunks, lambda: retrieve.vectors_of(chunks()))
+
+
 def tokenize_counts(spark, sf_dir):
     return sparse.tokenized(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.col("dl").alias("n_tokens"), F.size(F.array_distinct("terms")).cast("long").alias("n_distinct"))
 
 
 def bm25_topk(spark, sf_dir):
+    asked = questions(spark, sf_dir).withColumnRenamed("question", "query")
+    return _documents_index(spark, sf_dir).sparse.search(asked, 20).select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def bm25_scan(spark, sf_dir):
+    """As bm25_topk, without a stored index."""
     asked = questions(spark, sf_dir).withColumnRenamed("question", "query")
     return sparse.bm25(table(spark, sf_dir, "documents"), asked, 20).select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def bm25_term_stats(spark, sf_dir):
-    stats = sparse.term_stats(sparse.tokenized(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return stats.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
+    return _documents_index(spark, sf_dir).sparse.terms.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
 
 
 def dense_cosine_topk(spark, sf_dir):
@@ -59,8 +77,7 @@ def dense_label_agreement(spark, sf_dir):
 
 def hash_embed_topk(spark, sf_dir):
     asked = providers.embed(questions(spark, sf_dir), "qid", F.col("question"))
-    held = providers.embed(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return cosine_top(asked, held, 20, ident="doc_id", vector="vector").select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+    return cosine_top(asked, _documents_index(spark, sf_dir).vectors, 20, ident="doc_id", vector="vector").select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def rrf_fusion(spark, sf_dir):
@@ -74,19 +91,19 @@ def _shown(found: DataFrame, *more: str) -> DataFrame:
 
 
 def hybrid_single(spark, sf_dir):
-    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", rerank=False))
+    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", rerank=False, stored=_chunks_index(spark, sf_dir)))
 
 
 def hybrid_retrieve(spark, sf_dir):
-    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), rerank=False))
+    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), rerank=False, stored=_chunks_index(spark, sf_dir)))
 
 
 def rerank_topk(spark, sf_dir):
-    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single"))
+    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", stored=_chunks_index(spark, sf_dir)))
 
 
 def corrective_retry(spark, sf_dir):
-    return _shown(retrieve.corrective(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single"), "attempt")
+    return _shown(retrieve.corrective(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", stored=_chunks_index(spark, sf_dir)), "attempt")
 
 
 def priority_merge(spark, sf_dir):
@@ -218,6 +235,62 @@ def sse_events(spark, sf_dir):
     return retrieve.response_events(asked)
 
 
+def running_answer(spark, sf_dir):
+    """Assistant turns as tokens of 40 characters: what of the text is new at each."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("text"))
+    at = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / 40))
+    tokens = turns.select("request_id", F.posexplode(F.transform(at, lambda i: F.substring("text", (i * 40 + 1).cast("int"), F.lit(40)))).alias("seq", "token"))
+    return deltas(tokens).select("request_id", F.col("seq").cast("int").alias("seq"), F.md5("text").alias("digest"), F.col("length").cast("long").alias("length"))
+
+
+def generator_messages(spark, sf_dir):
+    """The last turns of each conversation and its last user turn as the question."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    asked = turns.where("role = 'user'").groupBy(F.col("conv_id").alias("qid")).agg(F.max_by("text", "turn").alias("question"))
+    history = last_turns(turns, "conv_id").select(F.col("conv_id").alias("qid"), "position", "role", "text")
+    none = asked.select("qid", F.lit("-").alias("context"))
+    found = retrieve.messages(asked, none, "Answer from the context.", history)
+    return found.select("qid", F.col("position").cast("int").alias("position"), "role", F.md5("content").alias("digest"))
+
+
+def result_sources(spark, sf_dir):
+    """The sources shown with the best chunks of each question, as JSON."""
+    found = retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", stored=_chunks_index(spark, sf_dir))
+    shown = retrieve.sources(found, chunk_table(spark, sf_dir)).select("qid", F.posexplode("sources").alias("pos", "s"))
+    return shown.select("qid", F.col("pos").cast("int").alias("pos"), "s.file_path", "s.start_line", "s.end_line", F.round("s.relevance_score", 6).alias("relevance_score"))
+
+
+def dashboard(spark, sf_dir):
+    """Evaluated tests as a dashboard lists them: scores as percents of one decimal, failed ones first, then by answer length."""
+    shown = evaluate.dashboard(evaluate.passed(_evaluated(spark, sf_dir)), [("passed", True), ("answer_length", False), ("question", True)])
+    return shown.select(F.col("place").cast("int").alias("place"), "qid", *evaluate.METRICS, "overall", "passed", F.col("answer_length").cast("long").alias("answer_length"))
+
+
+def file_count(spark, sf_dir):
+    return distinct_files(spark, sf_dir).agg(F.count(F.lit(1)).alias("files"), F.sum("chunks").alias("chunks"))
+
+
+def chunk_sources(spark, sf_dir):
+    """Documents as functions of a source file, chunked by structure and windows."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    body = F.concat(F.lit("class D"), F.col("doc_id").cast("string"), F.lit(":\n    x = 1\n    def first(self):\n        a = 1\n        return a\n    def small(self): return 2\n\ndef last"), F.col("doc_id").cast("string"), F.lit("():\n"), F.repeat(F.lit("    y = 1\n"), (F.col("doc_id") % 120 + 1).cast("int")))
+    files = docs.select(F.format_string("f%d.py", "doc_id").alias("file_path"), body.alias("source"), F.lit("python").alias("language"))
+    found = chunk_files(files)
+    return found.select("file_path", "chunk_type", "name", "start_line", "end_line", "context_prefix", F.md5("content").alias("digest"))
+
+
+def unregistered(spark, sf_dir):
+    """Orders whose customer isn't there: what a foreign key would refuse."""
+    known = table(spark, sf_dir, "customer").where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").join(known, "o_custkey", "left_anti").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def progress_replay(spark, sf_dir):
+    """What a subscriber that joins at event 3000 sees: the last snapshot, what follows, nothing after the end."""
+    events = _job_events(spark, sf_dir).select(F.col("user_id").cast("string").alias("repo_id"), "phase", F.col("current").alias("percent"), F.col("event_id").alias("ts"))
+    return replayed(events.where("phase <> 'done' OR ts % 7 = 0"), 3000, 2000)
+
+
 def answer_decode(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
     return turns.select("request_id", answer_prefix(F.to_json(F.struct(F.col("text").alias("answer")))).alias("answer"))
@@ -250,6 +323,6 @@ QUERIES = {
         tokenize_counts, bm25_topk, bm25_term_stats, dense_cosine_topk, dense_label_agreement, hash_embed_topk, rrf_fusion, hybrid_single, hybrid_retrieve, rerank_topk,
         corrective_retry, priority_merge, expansion_dedupe, file_refs, path_match, window_split_lines, ext_language_scan, delta_changes, delta_merge, distinct_files, history_last6,
         progress_percent, progress_snapshot, progress_throttle, webhook_join, eval_scores, eval_passed, ablation_by_strategy, sse_events, answer_decode, context_prompt, hosts,
-        pricing_summary, events_by_hour,
+        pricing_summary, events_by_hour, bm25_scan, running_answer, generator_messages, result_sources, dashboard, file_count, chunk_sources, unregistered, progress_replay,
     )
 }

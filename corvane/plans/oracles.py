@@ -87,7 +87,10 @@ ch AS (SELECT coalesce(ol.file_path, nw.file_path) AS file_path, CASE WHEN ol.fi
 ORACLES: dict[str, str] = {
     "tokenize_counts": f"SELECT doc_id, len(t)::bigint AS n_tokens, len(list_distinct(t))::bigint AS n_distinct FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
     "bm25_topk": f"WITH {_bm25(DOCS, ASKED)} SELECT qid, id AS doc_id, score, rank FROM bm25",
-    "bm25_term_stats": f"WITH {_bm25(DOCS, ASKED)} SELECT term, df::bigint AS df, round(idf, 6) AS idf FROM idf",
+    "bm25_scan": f"WITH {_bm25(DOCS, ASKED)} SELECT qid, id AS doc_id, score, rank FROM bm25",
+    "bm25_term_stats": f"""WITH dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_tokens("text")})) AS term FROM documents) GROUP BY term),
+raw AS (SELECT term, df, ln(n - df + 0.5::double) - ln(df + 0.5::double) AS raw FROM dfs, (SELECT count(*) AS n FROM documents)), m AS (SELECT avg(raw) AS mean FROM raw)
+SELECT term, df::bigint AS df, round(CASE WHEN raw < 0 THEN 0.25::double * mean ELSE raw END, 6) AS idf FROM raw, m""",
     "dense_cosine_topk": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::int AS rank FROM (SELECT a.vec_id AS qid, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 20",
     "dense_label_agreement": "SELECT qid, round(avg(CASE WHEN label = own THEN 1.0::double ELSE 0 END), 6) AS agreement FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS qid, a.label AS own, b.vec_id, b.label, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 20 AND qid <> vec_id GROUP BY qid",
     "hash_embed_topk": f"WITH {_dense(DOCS, ASKED_TEXT)} SELECT qid, id AS doc_id, score, rank FROM dense",
@@ -112,7 +115,7 @@ SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY pos) - 1)::int AS vari
     "window_split_lines": r"""WITH l AS (SELECT doc_id, text, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM (SELECT *, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS p FROM documents)),
 w AS (SELECT doc_id, p, ceil(greatest(len(p) - 9, 0) / 6)::int + 1 AS parts, unnest(range(0, ceil(greatest(len(p) - 9, 0) / 6)::int + 1)) AS i FROM l WHERE len(p) > 12)
 SELECT 'doc' || doc_id AS file_path, 0 AS start_line, len(string_split(text, chr(10)))::int - 1 AS end_line, 'doc' || doc_id AS context_prefix, NULL::varchar AS name, md5(text) AS digest FROM l WHERE len(p) <= 12
-UNION ALL SELECT 'doc' || doc_id, (6 * i)::int, (least(6 * i + 9, len(p)) - 1)::int, 'doc' || doc_id || ' > part ' || (i + 1) || '/' || parts, '(part ' || (i + 1) || '/' || parts || ')', md5(array_to_string(p[6 * i + 1:6 * i + 9], chr(10))) FROM w""",
+UNION ALL SELECT 'doc' || doc_id, (6 * i)::int, (least(6 * i + 9, len(p)) - 1)::int, 'doc' || doc_id || ' > part ' || (i + 1) || '/' || parts, 'part ' || (i + 1) || '/' || parts, md5(array_to_string(p[6 * i + 1:6 * i + 9], chr(10))) FROM w""",
     "ext_language_scan": """WITH p AS (SELECT doc_id, ['src', 'build', 'lib/build.d', 'node_modules/x', 'a/b'][doc_id % 5 + 1] || '/f' || doc_id || ['.py', '.JS', '.md', '.tsx', '.c', '.rb', 'py', '.Scala'][doc_id % 8 + 1] AS file_path, n_chars * 200 AS length FROM documents)
 SELECT doc_id, file_path, CASE doc_id % 8 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 3 THEN 'typescript' WHEN 4 THEN 'c' WHEN 5 THEN 'ruby' WHEN 7 THEN 'scala' END AS language FROM p WHERE doc_id % 8 NOT IN (2, 6) AND doc_id % 5 NOT IN (1, 3) AND length <= 500000""",
     "delta_changes": f"WITH {VERSIONS} SELECT * FROM ch WHERE change IS NOT NULL",
@@ -126,8 +129,38 @@ SELECT doc_id, file_path, CASE doc_id % 8 WHEN 0 THEN 'python' WHEN 1 THEN 'java
     "eval_scores": f"WITH {EVALUATED} SELECT round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_relevancy), 6) AS answer_relevancy, round(avg(context_recall), 6) AS context_recall FROM ev",
     "eval_passed": f"WITH {EVALUATED}, z AS (SELECT qid, coalesce(faithfulness, 0) AS f, coalesce(answer_relevancy, 0) AS r, coalesce(context_recall, 0) AS c FROM ev), o AS (SELECT *, round((f + r + c) / 3, 6) AS overall FROM z) SELECT qid, overall, f > 0.75 AND r > 0.75 AND c > 0.75 AS passed, CASE WHEN overall >= 0.8 THEN 'green' WHEN overall >= 0.6 THEN 'amber' ELSE 'red' END AS band FROM o",
     "ablation_by_strategy": f"WITH {_bm25(DOCS, ASKED)}, {_dense(DOCS, ASKED_TEXT)}, b AS (SELECT 'sparse' AS strategy, qid, id FROM bm25 WHERE rank <= 5 UNION ALL SELECT 'dense', qid, id FROM dense WHERE rank <= 5), s AS (SELECT strategy, qid, string_agg(text, chr(10)) AS seen FROM b JOIN documents ON doc_id = id GROUP BY ALL), r AS (SELECT strategy, {COVER.format(q=_tokens('text'), c=_tokens('seen'))} AS v FROM s JOIN benchmark ON item_id = qid) SELECT strategy, round(avg(v), 6) AS mean, count(v) AS scored, count(*) AS n FROM r GROUP BY strategy",
+    "sse_events": """WITH t AS (SELECT conv_id * 1000 + turn AS request_id, conv_id AS session_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM conversations WHERE role = 'assistant'),
+e AS (SELECT request_id, list_concat([{'event': 'session_id', 'payload': to_json({'session_id': session_id})::varchar}], list_transform(l, lambda x: {'event': 'answer_chunk', 'payload': to_json({'text': x})::varchar}),
+  [{'event': 'citations', 'payload': '{"citations":[]}'}, {'event': 'sources', 'payload': '{"sources":[]}'}, {'event': 'done', 'payload': '[DONE]'}]) AS m FROM t),
+u AS (SELECT request_id, unnest(range(0, len(m)))::int AS seq, unnest(m) AS x FROM e)
+SELECT request_id, seq, x.event AS event, x.payload AS payload FROM u""",
+    "running_answer": "WITH t AS (SELECT conv_id * 1000 + turn AS request_id, text, unnest(range(0, greatest(length(text) - 1, 0) // 40 + 1)) AS i FROM conversations WHERE role = 'assistant') SELECT request_id, i::int AS seq, md5(substring(text, 1, ((i + 1) * 40)::int)) AS digest, (i * 40)::bigint AS length FROM t",
+    "generator_messages": """WITH q AS (SELECT conv_id AS qid, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY 1),
+h AS (SELECT conv_id AS qid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, role, text FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6)),
+n AS (SELECT qid, count(*) AS n FROM h GROUP BY qid)
+SELECT qid, 0::int AS position, 'system' AS role, md5('Answer from the context.') AS digest FROM q
+UNION ALL SELECT qid, p::int, role, md5(text) FROM h JOIN q USING (qid)
+UNION ALL SELECT qid, (n + 1)::int, 'user', md5('Context chunks from the repository:' || chr(10) || '-' || chr(10) || chr(10) || 'Question: ' || question) FROM q JOIN n USING (qid)""",
+    "result_sources": f"WITH {_hybrid('single', 5, 20, True)} SELECT qid, (rank - 1)::int AS pos, source || '/doc' || doc_id || '.txt' AS file_path, 0::int AS start_line, (length(text) - length(replace(text, chr(10), '')))::int AS end_line, round(coalesce(rerank_score, fused_score), 6) AS relevance_score FROM res JOIN documents ON doc_id = id",
+    "dashboard": f"""WITH {EVALUATED}, z AS (SELECT ev.qid, b.text AS question, length(coalesce(answer, '')) AS answer_length, coalesce(faithfulness, 0) AS f, coalesce(answer_relevancy, 0) AS r, coalesce(context_recall, 0) AS c FROM ev JOIN benchmark b ON b.item_id = ev.qid LEFT JOIN ctx ON ctx.qid = ev.qid),
+o AS (SELECT *, (f + r + c) / 3 AS overall, f > 0.75 AND r > 0.75 AND c > 0.75 AS passed FROM z)
+SELECT row_number() OVER (ORDER BY passed, answer_length DESC, question)::int AS place, qid, printf('%.1f%%', round(f * 100, 1)) AS faithfulness, printf('%.1f%%', round(r * 100, 1)) AS answer_relevancy, printf('%.1f%%', round(c * 100, 1)) AS context_recall,
+  printf('%.1f%%', round(overall * 100, 1)) AS overall, passed, answer_length::bigint AS answer_length FROM o""",
+    "file_count": "SELECT count(*) AS files, sum(chunks)::bigint AS chunks FROM (SELECT count(*) AS chunks FROM documents WHERE source <> '' GROUP BY replace(source, '\\', '/'))",
+    "chunk_sources": """WITH d AS (SELECT doc_id AS n, 'f' || doc_id || '.py' AS f, doc_id % 120 + 1 AS k FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, list_concat(['def last' || n || '():'], list_transform(range(0, k), lambda x: '    y = 1')) AS ls FROM d),
+v AS (SELECT *, unnest(range(0, parts)) AS i FROM (SELECT *, ceil(greatest(k - 59, 0) / 45)::int + 1 AS parts FROM l WHERE k + 1 > 80))
+SELECT f AS file_path, 'class' AS chunk_type, 'D' || n AS name, 0::int AS start_line, 5::int AS end_line, f || ' > D' || n AS context_prefix, md5('class D' || n || ':' || chr(10) || '    x = 1' || chr(10) || '    def first(self):' || chr(10) || '        a = 1' || chr(10) || '        return a' || chr(10) || '    def small(self): return 2') AS digest FROM d
+UNION ALL SELECT f, 'function', 'first', 2, 4, f || ' > D' || n || ' > first', md5('def first(self):' || chr(10) || '        a = 1' || chr(10) || '        return a') FROM d
+UNION ALL SELECT f, 'function', 'last' || n, 7, (7 + k)::int, f || ' > last' || n, md5(array_to_string(ls, chr(10))) FROM l WHERE k >= 2 AND k + 1 <= 80
+UNION ALL SELECT f, 'function', 'last' || n || ' (part ' || (i + 1) || '/' || parts || ')', (7 + 45 * i)::int, (6 + least(45 * i + 60, k + 1))::int, f || ' > last' || n || ' > part ' || (i + 1) || '/' || parts, md5(array_to_string(ls[45 * i + 1:45 * i + 60], chr(10))) FROM v""",
+    "unregistered": "SELECT o_custkey, count(*) AS orders FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0) GROUP BY o_custkey",
+    "progress_replay": f"""WITH {JOBS}, e AS (SELECT user_id::varchar AS repo_id, phase, current AS percent, event_id AS ts FROM jobs WHERE phase <> 'done' OR event_id % 7 = 0),
+s AS (SELECT *, max(CASE WHEN ts <= 3000 THEN ts END) OVER (PARTITION BY repo_id) AS last FROM e), n AS (SELECT * FROM s WHERE ts > 3000 OR (ts = last AND ts >= 1000)),
+z AS (SELECT *, max((phase IN ('done', 'error'))::int) OVER (PARTITION BY repo_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM n)
+SELECT repo_id, phase, percent, ts FROM z WHERE coalesce(ended, 0) = 0""",
     "answer_decode": "SELECT conv_id * 1000 + turn AS request_id, text AS answer FROM conversations WHERE role = 'assistant'",
-    "context_prompt": f"WITH {_bm25(DOCS, ASKED)} SELECT qid, md5(string_agg('[' || source || '/doc' || doc_id || '.txt:0]' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM bm25 JOIN documents ON doc_id = id WHERE rank <= 2 GROUP BY qid",
+    "context_prompt": f"WITH {_bm25(DOCS, ASKED)} SELECT qid, md5(string_agg('File: ' || source || '/doc' || doc_id || '.txt (line 0)' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM bm25 JOIN documents ON doc_id = id WHERE rank <= 2 GROUP BY qid",
     "hosts": "SELECT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, count(*)::bigint AS pages FROM pages GROUP BY 1",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= timestamp '1998-09-02' GROUP BY ALL",
     "events_by_hour": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

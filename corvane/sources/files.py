@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,6 @@ def code_files(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/") + "/"
     glob = "*{" + ",".join(sorted({f"{x}" for e in LANGUAGES for x in (e, e.upper(), e.capitalize())})) + "}"
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^.*?" + base.replace("\\", "\\\\").replace(".", "\\."), "")
+    relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^.*?" + re.escape(base), "")
     kept = code_paths(listed.where(F.col("length") <= MOST_BYTES).withColumn("file_path", relative))
     return kept.select("file_path", F.make_valid_utf8(F.col("content").cast("string")).alias("source"), "language", F.sha2("content", 256).alias("digest"))

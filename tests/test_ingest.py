@@ -1,10 +1,13 @@
 """File trees, chunks, deltas, snapshots, evaluation."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import chunk, delta, evaluate
 from corvane.sources.files import code_files
-from corvane.sources.tables import Snapshots, json_results
+from corvane.sources.tables import Conflict, Snapshots, Store, json_results, modified_at, write_json
 
 PYTHON = "import os\n\nclass A:\n    def f(self):\n        x = 1\n        return x\n\n    def g(self): return 2\n\n\nasync def h():\n    def inner():\n        pass\n        pass\n    return inner\n"
 SCRIPT = "export class B {\n  run(a) {\n    if (a) {\n      return '}';\n    }\n  }\n}\nconst f = (x) => {\n  return x;\n};\n"
@@ -13,14 +16,19 @@ SCRIPT = "export class B {\n  run(a) {\n    if (a) {\n      return '}';\n    }\n
 def test_chunk_python():
     rows = chunk.chunk_source("a.py", PYTHON, "python")
     assert [(r[2], r[3], r[4], r[5], r[6]) for r in rows] == [("class", "A", None, 2, 7), ("function", "f", "A", 3, 5), ("function", "h", None, 10, 14)]
-    assert chunk.chunk_source("b.py", "x = 1\n", "python")[0][2:7] == ("module", None, None, 0, 1)
+    assert chunk.chunk_source("b.py", "x = 1\n", "python")[0][2:7] == ("module", "module", None, 0, 1)
     assert chunk.chunk_source("c.py", " \n", "python") == []
     assert chunk.chunk_source("d.py", "def (:\n", "python")[0][2] == "module"
 
 
 def test_chunk_others():
     rows = chunk.chunk_source("a.js", SCRIPT, "javascript")
-    assert [(r[2], r[3], r[4], r[5], r[6]) for r in rows] == [("class", "B", None, 0, 6), ("function", "run", "B", 1, 5), ("function", "f", None, 7, 9)]
+    assert [(r[2], r[3], r[4], r[5], r[6]) for r in rows] == [("function", None, None, 0, 6), ("function", "f", None, 7, 9)]  # an export is one chunk
+    rows = chunk.chunk_source("a.ts", SCRIPT.replace("export ", "") + "export const settings = {\n  a: 1,\n};\nexport { x } from 'y';\n", "typescript")
+    assert [(r[2], r[3], r[4], r[5], r[6]) for r in rows] == [("class", "B", None, 0, 6), ("function", "run", "B", 1, 5), ("function", "f", None, 7, 9), ("function", None, None, 10, 12)]
+    assert rows[1][7].startswith("run(a) {\n    if")
+    java = chunk.chunk_source("A.java", "public enum E {\n  ONE,\n  TWO;\n  int f() {\n    int a = 1;\n    return a;\n  }\n}\npublic class C {\n  public int g() {\n    int a = 1;\n    return a;\n  }\n}\n", "java")
+    assert [(r[2], r[3], r[4]) for r in java] == [("function", "E", None), ("class", "C", None), ("function", "g", "C")]  # an enum is not entered
     go = chunk.chunk_source("a.go", "package x\nfunc (r *T) Do(a int) int {\n  return a\n}\ntype T struct {\n  a int\n}\n", "go")
     assert [(r[3], r[5], r[6]) for r in go] == [("Do", 1, 3), ("T", 4, 6)]
     ruby = chunk.chunk_source("a.rb", "module M\n  class C\n    def f\n      if x\n        1\n      end\n    end\n  end\nend\n", "ruby")
@@ -48,7 +56,7 @@ def test_window_split(spark):
         for i, s in enumerate(parts):
             label = f"part {i + 1}/{len(parts)}"
             name = "n" if n % 2 else None
-            want.append((10, 10 + n - 1, "f", name) if s is None else (10 + s, 10 + min(s + 60, n) - 1, f"f > {label}", f"{name} ({label})" if name else f"({label})"))
+            want.append((10, 10 + n - 1, "f", name) if s is None else (10 + s, 10 + min(s + 60, n) - 1, f"f > {label}", f"{name} ({label})" if name else label))
     assert sorted(map(repr, want)) == sorted(repr((r.start_line, r.end_line, r.context_prefix, r.name)) for r in cut)
 
 
@@ -79,6 +87,46 @@ def test_delta_and_snapshots(spark, tmp_path):
     assert [tuple(r) for r in table.read().collect()] == [("c", None)]
 
 
+def test_store(spark, tmp_path):
+    store, schema = Store(spark, str(tmp_path / "s")), "k string, v long"
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    assert store.version() == 0 and store.read("t", schema).count() == 0
+    assert store.commit({("t", "a"): rows(("a", 1)), ("t", "b"): rows(("b", 1)), ("u", ""): rows(("u", 1))}) == 1
+    base, kept = store.version(), store.state()["t"]["b"]
+    store.commit({("t", "a"): rows(("a", 2)), ("u", ""): None}, base)  # other parts keep their folders
+    assert store.state()["t"]["b"] == kept and store.read("u", schema).count() == 0
+    assert sorted(map(tuple, store.read("t", schema).collect())) == [("a", 2), ("b", 1)] and [tuple(r) for r in store.read("t", schema, ["b"]).collect()] == [("b", 1)]
+    with pytest.raises(Conflict):
+        store.commit({("t", "a"): rows(("a", 3))}, base)
+    store.commit({("t", "b"): rows(("b", 3))}, base)  # nobody has changed that one since
+    assert sorted(map(tuple, store.read("t", schema, version=1).collect())) == [("a", 1), ("b", 1)]
+    assert store.clean(keep=1) == 4 and sorted(map(tuple, store.read("t", schema).collect())) == [("a", 2), ("b", 3)]
+
+
+def test_results_files(spark, tmp_path):
+    path = str(tmp_path / "r" / "results.json")
+    assert modified_at(spark, path) is None
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "results.json").write_text("{}")
+    os.utime(path, (0, 1_700_000_000.25))
+    assert modified_at(spark, path) == "2023-11-14T22:13:20.250000+00:00"
+    write_json(spark.createDataFrame([("q", 0.5)], "question string, score double"), str(tmp_path / "out"))
+    assert json_results(spark, str(tmp_path / "out"), "question string, score double").first() == ("q", 0.5)
+
+
+def test_evaluation_runs(spark):
+    tests = evaluate.samples(spark, [("how is the total added up", "the total is added up"), ("who greets", "hello")])
+    chunks = spark.createDataFrame([(1, "a.py", 0, 2, "def total(): the total is added up", "a.py"), (2, "b.py", 0, 2, "def greet(): hello who greets", "b.py")], "chunk_no long, file_path string, start_line int, end_line int, content string, context_prefix string")
+    rows = {r.case_no: r for r in evaluate.run(tests, chunks, strategy="single").collect()}
+    assert rows[0].context_recall == 1.0 and rows[1].context_recall == 1.0 and rows[0].faithfulness == 1.0 and rows[0].contexts[0].startswith("def total")
+    got = evaluate.ablation(tests, chunks).collect()
+    assert {(r.strategy, r.metric, r.n) for r in got} == {(s, m, 2) for s in ("single", "fusion") for m in ("faithfulness", "context_recall")}
+    shown = evaluate.dashboard(evaluate.passed(evaluate.run(tests, chunks, strategy="single")), [("answer_length", True)]).orderBy("place").collect()
+    assert [r.case_no for r in shown] == [1, 0] and shown[0].context_recall == "100.0%"
+    with pytest.raises(ValueError):
+        evaluate.dashboard(evaluate.passed(evaluate.run(tests, chunks)), [("colour", True)])
+
+
 def test_upsert_repos(spark):
     repos = spark.createDataFrame([("1", "u1", "error", "s1"), ("2", "u2", "ready", "s2")], "repo_id string, url string, status string, last_commit_sha string").withColumns({"indexed_at": F.lit(None).cast("timestamp"), "created_at": F.lit(None).cast("timestamp")})
     asked = spark.createDataFrame([("9", "u1"), ("8", "u2"), ("7", "u3"), ("6", "u3")], "repo_id string, url string")
