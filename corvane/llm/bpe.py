@@ -28,7 +28,7 @@ class Pairs:
     """An open-addressing hash table of id pairs: pair -> id of the merged token (which is its rank)."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray):
-        self.bits = max(4, int(4 * len(left)).bit_length())
+        self.bits, self.single = max(4, int(4 * len(left)).bit_length()), None
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, NONE, np.int32)
         key, value, self.probes = (left.astype(np.int64) << 32) | right, merged.astype(np.int32), 0
@@ -44,6 +44,13 @@ class Pairs:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def table(self) -> dict[int, int]:
+        """The same as a dictionary, made on first use: for one pair at a time."""
+        if self.single is None:
+            own = self.keys != -1
+            self.single = dict(zip(self.keys[own].tolist(), self.values[own].tolist()))
+        return self.single
+
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merged ids; NONE where the pair has none or an id is -1."""
         key = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
@@ -150,22 +157,19 @@ class ByteBpe:
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
         """The same merges in the same order, by a heap of (rank, place) and a linked list."""
+        known = self.pairs.table()
         ids = self.byte_id[np.frombuffer(piece, np.uint8)]
         first = self.pairs(ids[:-1], ids[1:])
         here, after, before = ids.tolist(), list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(int(r), i, i + 1) for i, r in enumerate(first.tolist()) if r != NONE]
         heapq.heapify(heap)
         state = dict(enumerate(first.tolist()))
-        one = np.zeros(1, np.int32)
+        none = int(NONE)
 
         def pair(i: int) -> None:
             j = after[i]
-            rank = int(NONE)
-            if j < len(here):
-                one_a, one_b = one + here[i], one + here[j]
-                rank = int(self.pairs(one_a, one_b)[0])
-            state[i] = rank
-            if rank != NONE:
+            state[i] = rank = known.get((here[i] << 32) | here[j], none) if j < len(here) else none
+            if rank != none:
                 heapq.heappush(heap, (rank, i, j))
 
         while heap:

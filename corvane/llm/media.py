@@ -24,6 +24,8 @@ CHUNK = 8
 RATE = 25
 #: Box types that hold boxes.
 NESTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+#: Boxes within boxes that are walked; what lies deeper is not.
+DEEPEST = 32
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -65,10 +67,17 @@ def write_container(payload: bytes) -> bytes:
     return b"".join((ftyp, box(b"mdat", payload), box(b"moov", mvhd, box(b"trak", tkhd, mdia))))
 
 
-def walk(data: bytes, begin: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+class Damaged(ValueError):
+    """A container whose sample tables contradict each other or its size, or that keeps samples elsewhere."""
+
+
+def walk(data: bytes, begin: int = 0, end: int | None = None) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path of box types, body start, body end) of every box, parents first. Broken sizes end the walk of their parent."""
-    end = len(data) if end is None else end
-    while begin + 8 <= end:
+    open_boxes: list[tuple[int, int, tuple[bytes, ...]]] = [(begin, len(data) if end is None else end, ())]
+    while open_boxes:
+        begin, end, path = open_boxes.pop()
+        if begin + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, begin)
         head = 8
         if size == 1 and begin + 16 <= end:
@@ -76,19 +85,41 @@ def walk(data: bytes, begin: int = 0, end: int | None = None, path: tuple[bytes,
         elif size == 0:
             size = end - begin
         if size < head or begin + size > end:
-            return
+            continue
+        open_boxes.append((begin + size, end, path))
         here = (*path, kind)
         yield here, begin + head, begin + size
-        if kind in NESTS:
-            yield from walk(data, begin + head, begin + size, here)
-        begin += size
+        if kind in NESTS and len(here) < DEEPEST:
+            open_boxes.append((begin + head, begin + size, here))
+
+
+def _numbers(data: bytes, kind: str, n: int, at: int, end: int) -> np.ndarray:
+    """n numbers of a table that lies within its box."""
+    if at + n * np.dtype(kind).itemsize > end:
+        raise Damaged("a table is longer than its box")
+    return np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
 def read_tracks(data: bytes) -> list[dict]:
-    """Codec, timescale, duration, byte offset and size of each sample, and sync sample numbers (from 0) of each track."""
+    """Codec, timescale, duration, byte offset and size of each sample, and sync sample numbers (from 0) of each track.
+
+    What is no container has no tracks. Damaged: tables that contradict each other, samples
+    outside the data, and fragmented containers, whose samples have no table.
+    """
+    try:
+        return _read_tracks(data)
+    except Damaged:
+        raise
+    except (struct.error, ValueError, IndexError, OverflowError) as e:
+        raise Damaged(f"a box is cut off ({e})") from e
+
+
+def _read_tracks(data: bytes) -> list[dict]:
     tracks: list[dict] = []
     for path, at, end in walk(data):
         kind = path[-1]
+        if kind == b"moof":
+            raise Damaged("fragmented")
         if kind == b"trak":
             tracks.append({"codec": None, "timescale": 0, "duration": 0, "stsc": [], "offsets": [], "sizes": np.zeros(0, np.int64), "sync": None})
         if not tracks or b"trak" not in path:
@@ -103,10 +134,12 @@ def read_tracks(data: bytes) -> list[dict]:
             track["codec"] = data[at + 12 : at + 16].decode("latin1")
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", data, at + 4)
-            track["sizes"] = np.full(n, same, np.int64) if same else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
+            if same and n * same > len(data):
+                raise Damaged("samples are larger than the data")
+            track["sizes"] = np.full(n, same, np.int64) if same else _numbers(data, ">u4", n, at + 12, end)
         elif kind in (b"stss", b"stsc", b"stco", b"co64"):
             n = struct.unpack_from(">I", data, at + 4)[0]
-            values = np.frombuffer(data, ">u8" if kind == b"co64" else ">u4", n * (3 if kind == b"stsc" else 1), at + 8).astype(np.int64)
+            values = _numbers(data, ">u8" if kind == b"co64" else ">u4", n * (3 if kind == b"stsc" else 1), at + 8, end)
             if kind == b"stss":
                 track["sync"] = values - 1
             else:
@@ -114,6 +147,8 @@ def read_tracks(data: bytes) -> list[dict]:
     for track in tracks:
         n, chunks, runs = len(track["sizes"]), len(track["offsets"]), track.pop("stsc")
         first = np.array([r[0] - 1 for r in runs] + [chunks], np.int64)
+        if (np.diff(first) < 0).any() or len(runs) and (first[0] or sum(int(k) * int(m) for k, m in zip(np.diff(first), (r[1] for r in runs))) != n) or n and not len(runs):
+            raise Damaged("chunks and samples don't match")
         per_chunk = np.repeat(np.array([r[1] for r in runs], np.int64), np.diff(first)) if len(runs) else np.zeros(0, np.int64)
         chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
         ends = np.cumsum(track["sizes"])[: len(chunk)]
@@ -123,6 +158,8 @@ def read_tracks(data: bytes) -> list[dict]:
         base = begins[opens[chunk]] if n else begins
         track["at"] = np.asarray(track.pop("offsets"), np.int64)[chunk] + begins - base if n else begins
         track["sync"] = np.arange(n) if track["sync"] is None else track["sync"]
+        if n and (track["at"].min() < 0 or (track["at"] + track["sizes"]).max() > len(data) or len(track["sync"]) and not 0 <= track["sync"].min() <= track["sync"].max() < n):
+            raise Damaged("samples lie outside the data")
     return tracks
 
 
@@ -140,13 +177,16 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def index_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per container: codec, handler, timescale, duration, n_samples, keyframes (start and length of each sync sample's bytes), digests of the samples' bytes and of the container. Nothing is decoded; null containers give null features."""
+    """Per container: codec, handler, timescale, duration, n_samples, keyframes (start and length of each sync sample's bytes), digests of the samples' bytes and of the container, and problem. Nothing is decoded; null containers give null features, damaged ones null features of their tracks and a reason (problem)."""
     id_type = stored.schema[id_col].dataType.simpleString()
 
     def look(data: bytes) -> tuple:
-        track = next(iter(read_tracks(data)), None)
+        try:
+            track = next(iter(read_tracks(data)), None)
+        except Damaged as e:
+            return (None,) * 9 + (len(data), hashlib.sha256(data).hexdigest(), str(e))
         if track is None:
-            return None, None, None, None, 0, [], 0, hashlib.sha256(b"").hexdigest(), 0, len(data), hashlib.sha256(data).hexdigest()
+            return None, None, None, None, 0, [], 0, hashlib.sha256(b"").hexdigest(), 0, len(data), hashlib.sha256(data).hexdigest(), None
         at, size = track["at"], track["sizes"]
         breaks = np.flatnonzero(at[1:] != at[:-1] + size[:-1]) + 1  # samples that lie together are read together
         firsts = np.concatenate([[0], breaks]).astype(np.int64) if len(at) else np.zeros(0, np.int64)
@@ -155,17 +195,17 @@ def index_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
         payload = spans[0] if len(spans) == 1 else b"".join(spans)
         sync = track["sync"]
         keys = [{"start": int(a), "length": int(b)} for a, b in zip(at[sync], size[sync])]
-        return track["codec"], track.get("handler"), track["timescale"], track["duration"], len(at), keys, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SAMPLE:]), len(data), hashlib.sha256(data).hexdigest()
+        return track["codec"], track.get("handler"), track["timescale"], track["duration"], len(at), keys, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SAMPLE:]), len(data), hashlib.sha256(data).hexdigest(), None
 
-    names = ["codec", "handler", "timescale", "duration", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    names = ["codec", "handler", "timescale", "duration", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "problem"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media"):
             rows = [look(x) if x is not None else (None,) * len(names) for x in column(part, "media").to_pylist()]
             yield pa.record_batch([column(part, id_col), column(part, "n_bytes"), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], [id_col, "n_bytes", *names])
 
-    return stored.mapInArrow(read, f"`{id_col}` {id_type}, n_bytes long, codec string, handler string, timescale long, duration long, n_samples long, keyframes array<struct<start:long,length:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
+    return stored.mapInArrow(read, f"`{id_col}` {id_type}, n_bytes long, codec string, handler string, timescale long, duration long, n_samples long, keyframes array<struct<start:long,length:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, problem string")
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

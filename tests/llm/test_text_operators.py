@@ -70,6 +70,27 @@ def test_media_boxes():
     assert media.read_tracks(b"junk that is no container") == [] and list(media.walk(data[:20])) == []
 
 
+def test_damaged_media(spark):
+    import struct
+
+    data = media.write_container(bytes(576 * 4))
+    at = data.index(b"stsz") + 12
+    broken = {
+        "a table is longer than its box": data[: at - 4] + struct.pack(">II", 0, 10**6) + data[at + 4 :],
+        "samples are larger than the data": data[:at] + struct.pack(">I", 10**9) + data[at + 4 :],
+        "chunks and samples don't match": data[:at] + struct.pack(">I", 3) + data[at + 4 :],
+        "fragmented": data + struct.pack(">I4s", 8, b"moof"),
+        "samples lie outside the data": (lambda k: data[:k] + struct.pack(">I", 10**6) + data[k + 4 :])(data.index(b"stco") + 12 if b"stco" in data else data.index(b"co64") + 16),
+    }
+    deep = b""
+    for _ in range(3000):
+        deep = struct.pack(">I4s", len(deep) + 8, b"moov") + deep
+    rows = [(i, 1, x) for i, x in enumerate([*broken.values(), deep, b"", b"junk", None, data])]
+    got = media.index_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).orderBy("doc_id").collect()
+    assert [r.problem for r in got] == [*broken, None, None, None, None, None]
+    assert all(r.codec is None for r in got[:-1]) and got[-1].n_samples == 4 and got[-1].payload_bytes == 576 * 4
+
+
 def test_sharding(odd, empty, texts):
     rows = sharding.shard_documents(odd, shards=5).collect()
     assert sorted(map(key, [(d, len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in texts])) == sorted(key(tuple(r)[:3]) for r in rows)
@@ -128,9 +149,23 @@ def test_encoders_give_the_libraries_ids(libraries, texts):
     assert own.decode(ids).tobytes() == "".join(texts).encode()
 
 
-def test_byte_bpe_rows(odd, empty, texts):
-    rows = bpe.encode_decode(odd, RANKS, public_tokenizers.PATTERN).collect()
-    assert sorted(map(key, [(d, hashlib.sha256(t.encode()).hexdigest()) for d, t in texts])) == sorted(key((r.doc_id, r.decoded_sha256)) for r in rows)
+def test_byte_bpe_rows(spark, odd, empty, texts):
+    import base64
+    import random
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    plain = tiktoken.Encoding("rows", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    long = ["".join(rng.choice("abcdeghnorst") for _ in range(n)) for n in (300, 512, 513, 700, 4000)] + ["=" * 900, "é" * 400, "日本" * 300]
+    more = list(enumerate(long, 1000))
+    rows = bpe.encode_decode(odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")), RANKS, public_tokenizers.PATTERN).collect()
+    want = []
+    for d, t in texts + more:
+        ids = np.array(plain.encode_ordinary(t), "<u4")
+        want.append((d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(map(key, want)) == sorted(map(key, rows))
     assert bpe.encode_decode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
