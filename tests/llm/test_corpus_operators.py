@@ -265,3 +265,77 @@ def test_pipeline(spark, marked, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         current = stage(spark, current, str(tmp_path))
         assert current.columns == docs.columns
+
+
+def test_classifier_scores_are_those_of_a_plain_forward_pass(marked):
+    import zlib
+
+    docs = {r.doc_id: r for r in marked.collect()}
+
+    def counted(text):
+        raw = text.encode()
+        seen = collections.Counter(b for buckets, _ in classifier.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) for b in buckets.tolist())
+        count = np.array([seen[b] for b in sorted(seen)], np.float32)
+        return np.array(sorted(seen), np.int32), count / max(1.0, float(count.sum()))
+
+    known = sorted(str(d) for d in docs if zlib.crc32(str(d).encode()) % 3 != 1)
+    labels = np.array([docs[int(d)].quality for d in known])
+    model = classifier.train([counted(docs[int(d)].text) for d in known], labels, len(known) / (2 * np.bincount(labels)))
+    for r in classifier.score_documents(marked.select("doc_id", "text"), marked).collect():
+        buckets, share = counted(docs[r.doc_id].text)
+        odds = (share @ model.vectors[buckets]) @ model.output + model.bias
+        assert abs(r.score - np.exp(odds[1]) / np.exp(odds).sum()) < 1e-3 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_pipeline_stages_against_plain_versions(spark, marked, tmp_path):
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corvane.llm import quality_rules
+
+    marked.selectExpr("doc_id", "quality", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    passage, near = prose(901, 60), prose(902, 200).split()
+    texts = [r.text for r in marked.where("doc_id < 60").orderBy("doc_id").collect()] + [prose(800 + i, 40) + " " + passage + " " + prose(850 + i, 30) for i in range(4)]
+    texts += [" ".join(near[:i] + ["changed"] + near[i:]) for i in (0, 90, 199)] + [texts[1], "one two", "ab " * 90]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, df: stages[name](spark, df, str(tmp_path))
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    table = lambda df: spark.createDataFrame(df.collect(), docs.schema)
+
+    clean = table(run("toxicity", docs))
+    assert ids(clean) == sorted(r.doc_id for r in toxicity.score_documents(docs, marked).collect() if r.score < 0.5) and 0 < clean.count() < docs.count()
+
+    good, documents = table(run("quality_rules", clean)), clean.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert ids(good) == sorted(d for d, kept in con.sql(f"SELECT doc_id, kept FROM ({quality_rules.oracle()})").fetchall() if kept) and 0 < good.count() < clean.count()
+
+    once, rows = table(run("near_duplicates", good)), [(r.doc_id, r.text) for r in good.collect()]
+    sets = {d: collections.Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for d, t in rows}
+    held = collections.Counter(g for s in sets.values() for g in s)
+    label = {d: d for d, _ in rows}
+    for _ in rows:
+        for a, x in sets.items():
+            for b, y in sets.items():
+                rare = lambda g: 1 + np.log((len(rows) + 1) / held[g]) / np.log(len(rows) + 2)
+                least = sum(min(n, y[g]) * rare(g) for g, n in x.items() if g in y)
+                most = sum(max(x[g], y[g]) * rare(g) for g in x.keys() | y.keys())
+                if a < b and least / most >= 0.8 and label[a] != label[b]:
+                    label[a] = label[b] = min(label[a], label[b])
+        if all(label[label[d]] == label[d] for d in label):
+            break
+    assert ids(once) == sorted(d for d in label if label[d] == d) and once.count() < good.count()
+
+    cut, rows = table(run("repeats", once)), [(r.doc_id, r.text) for r in once.collect()]
+    plain = {d: (n - gone, digest) for d, n, gone, _, digest in removed(rows, 200)}
+    assert {r.doc_id: (len(r.text.encode()), hashlib.sha256(r.text.encode()).hexdigest()) for r in cut.collect()} == plain and all(r.n_chars == len(r.text) for r in cut.collect())
+    assert any(n < len(t.encode()) for (d, t), (n, _) in zip(rows, (plain[d] for d, _ in rows)))
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed, sequences = run("packing", cut).collect(), collections.defaultdict(list)
+    assert sorted((r.doc_id, r.length) for r in packed) == sorted((r.doc_id, len(library.encode(r.text, add_special_tokens=False).ids) + 1) for r in cut.collect())
+    for r in packed:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 4096 and sorted(x)[0][0] == 0 for x in sequences.values())
