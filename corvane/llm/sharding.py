@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .shared import rank_in_group, saved
 
 #: Atomic groups: texts with the same leading bits of a hash. Equal texts are always together.
-GROUP_BITS = 16
+GROUP_BITS, FINER_BITS = 16, 10
 #: Rows of a shard are numbered by up to this many tasks.
 SALTS = 256
 
@@ -63,10 +63,15 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> np.ndarray:
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deals every row to a shard by law ``bytes``: sizes near equal, equal texts together.
 
+    Texts are in order of their hash. Atomic groups are ranges of hashes: first 2**GROUP_BITS of
+    them, then those at a cut and those of more than a quarter of a shard are parted in
+    2**FINER_BITS and the cuts are searched again, so that the driver sees a bounded number of
+    sizes whatever the corpus.
+
     Returns id_col, size (UTF-8 bytes plus 16), text_crc32, law, shard, slot (gapless from 0 in
     each shard) and grown_shard (null: the cuts follow the sizes, so they all move when a shard
     is added). Null texts count as empty; null and repeated ids keep their rows; an empty table
-    gives no rows; other columns are ignored. The driver sees 2**GROUP_BITS sizes at most.
+    gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = saved(
@@ -74,14 +79,21 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
             F.col(id_col).alias("_id"),
             (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64(text), 64 - GROUP_BITS).cast("int").alias("_group"),
+            F.shiftrightunsigned(F.xxhash64(text), 64 - GROUP_BITS - FINER_BITS).cast("long").alias("_key"),
         )
     )
+    group = F.shiftright("_key", FINER_BITS).cast("int").alias("_group")
     sizes = np.zeros(1 << GROUP_BITS, np.int64)
-    for group, total in rows.groupBy("_group").agg(F.sum("size")).collect():
-        sizes[group] = total
-    begins = minimax_cuts(sizes, shards)[1:-1]
-    shard = sum(((F.col("_group") >= int(x)).cast("int") for x in begins), F.lit(0))
+    for cell, total in rows.groupBy(group).agg(F.sum("size")).collect():
+        sizes[cell] = total
+    edges = minimax_cuts(sizes, shards)[1:-1]
+    fine = {int(x) for x in (*edges, *(edges - 1), *np.flatnonzero(sizes * 4 * shards > sizes.sum())) if 0 <= x < len(sizes)}
+    keys = {int(c) << FINER_BITS: int(n) for c, n in enumerate(sizes) if c not in fine}
+    keys |= dict(rows.where(group.isin(sorted(fine))).groupBy("_key").agg(F.sum("size")).collect()) if fine else {}
+    begins = sorted(keys)
+    ends = [*begins, 1 << (GROUP_BITS + FINER_BITS)]
+    cuts = [ends[at] for at in minimax_cuts(np.array([keys[k] for k in begins], np.int64), shards)[1:-1]]
+    shard = sum(((F.col("_key") >= int(x)).cast("int") for x in cuts), F.lit(0))
     placed = rows.select("_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard.cast("int").alias("shard"))
     ranked = rank_in_group(placed, ["shard"], ["_id", "text_crc32", "size"], SALTS, "slot")
     return ranked.select(F.col("_id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -103,6 +103,24 @@ def test_sharding(odd, empty, texts):
     assert sharding.shard_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [16, 3])
+def test_shards_are_the_smallest(spark, monkeypatch, bits):
+    import xxhash
+
+    monkeypatch.setattr(sharding, "GROUP_BITS", bits)
+    texts = [prose(i % 250, 5 + 37 * (i % 250) % 400) for i in range(300)]
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=7).collect()
+    held = collections.Counter()
+    for r in rows:
+        held[r.shard] += r["size"]
+    groups = collections.Counter()
+    for t in texts:
+        groups[xxhash.xxh64(t.encode(), seed=42).intdigest()] += len(t.encode()) + 16
+    best = sharding.smallest_capacity(np.array([groups[k] for k in sorted(groups)]), 7)
+    assert set(held) == set(range(7)) and sum(held.values()) == sum(groups.values())
+    assert max(held.values()) == best if bits == 16 else best <= max(held.values()) <= 1.05 * best
+
+
 def _minimax(sizes, shards):
     best = {(0, k): 0 for k in range(shards + 1)}
     for i in range(1, len(sizes) + 1):
