@@ -51,8 +51,8 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 20, qid: str = "
     if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         met = held.join(F.broadcast(asked))
     else:
-        groups = F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))
-        met = held.withColumn("_g", F.pmod(F.xxhash64("v_ids"), F.lit(GROUPS))).join(asked.withColumn("_g", groups.cast("long")), "_g")
+        groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long")))
+        met = held.withColumn("_g", F.pmod(F.xxhash64("v_ids"), F.lit(GROUPS).cast("long"))).join(asked.withColumn("_g", groups), "_g")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

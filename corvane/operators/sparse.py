@@ -67,13 +67,15 @@ class SparseIndex:
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SparseIndex:
         return cls.of(postings_of(docs, id_col, text_col), docs, id_col)
 
-    def write(self, path: str) -> None:
-        """Postings and terms sorted by term, so that a query reads the row groups of its terms; a term of very many documents spans files."""
-        spark = self.postings.sparkSession
-        self.postings.sort("term", self.id_col).write.mode("overwrite").parquet(f"{path}/postings")
-        stored = SparseIndex(spark.read.parquet(f"{path}/postings"), self.terms, self.totals, self.id_col)
-        stored.terms.sort("term").write.mode("overwrite").parquet(f"{path}/terms")
-        stored.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    @classmethod
+    def write(cls, path: str, postings: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> SparseIndex:
+        """Writes the index of the postings of docs, which are computed once. Postings and terms are sorted by term, so that a query reads the row groups of its terms; a term of very many documents spans files."""
+        spark = docs.sparkSession
+        postings.sort("term", id_col).write.mode("overwrite").parquet(f"{path}/postings")
+        index = cls.of(spark.read.parquet(f"{path}/postings"), docs, id_col)
+        index.terms.sort("term").write.mode("overwrite").parquet(f"{path}/terms")
+        index.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        return cls.read(spark, path, id_col)
 
     @classmethod
     def read(cls, spark, path: str, id_col: str = "doc_id") -> SparseIndex:

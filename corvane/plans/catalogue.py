@@ -31,13 +31,13 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_no"), F.format_string("%s/doc%d.txt", "source", "doc_id").alias("file_path"), F.lit(0).alias("start_line"), (F.regexp_count("text", F.lit("\n"))).alias("end_line"), F.col("text").alias("content"), F.format_string("%s/doc%d.txt", "source", "doc_id").alias("context_prefix"))
 
 
-def _documents_index(spark, sf_dir) -> retrieve.Stored:
+def documents_index(spark, sf_dir) -> retrieve.Stored:
     """Documents by doc_id: postings of their texts, and (doc_id, vector)."""
     docs = lambda: table(spark, sf_dir, "documents")
     return stored(spark, f"{sf_dir}/documents.parquet", "documents", "doc_id", lambda: sparse.postings_of(docs()), docs, lambda: providers.embed(docs(), "doc_id", F.col("text")))
 
 
-def _chunks_index(spark, sf_dir) -> retrieve.Stored:
+def chunks_index(spark, sf_dir) -> retrieve.Stored:
     """chunk_table by chunk_no, prefixes included."""
     chunks = lambda: chunk_table(spark, sf_dir)
     return stored(spark, f"{sf_dir}/documents.parquet", "chunks", "chunk_no", lambda: sparse.postings_of(retrieve.sparse_texts(chunks()), "chunk_no"), chunks, lambda: retrieve.vectors_of(chunks()))
@@ -49,7 +49,7 @@ def tokenize_counts(spark, sf_dir):
 
 def bm25_topk(spark, sf_dir):
     asked = questions(spark, sf_dir).withColumnRenamed("question", "query")
-    return _documents_index(spark, sf_dir).sparse.search(asked, 20).select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+    return documents_index(spark, sf_dir).sparse.search(asked, 20).select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def bm25_scan(spark, sf_dir):
@@ -59,7 +59,7 @@ def bm25_scan(spark, sf_dir):
 
 
 def bm25_term_stats(spark, sf_dir):
-    return _documents_index(spark, sf_dir).sparse.terms.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
+    return documents_index(spark, sf_dir).sparse.terms.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
 
 
 def dense_cosine_topk(spark, sf_dir):
@@ -77,7 +77,7 @@ def dense_label_agreement(spark, sf_dir):
 
 def hash_embed_topk(spark, sf_dir):
     asked = providers.embed(questions(spark, sf_dir), "qid", F.col("question"))
-    return cosine_top(asked, _documents_index(spark, sf_dir).vectors, 20, ident="doc_id", vector="vector").select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+    return cosine_top(asked, documents_index(spark, sf_dir).vectors, 20, ident="doc_id", vector="vector").select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def rrf_fusion(spark, sf_dir):
@@ -91,19 +91,19 @@ def _shown(found: DataFrame, *more: str) -> DataFrame:
 
 
 def hybrid_single(spark, sf_dir):
-    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", rerank=False, stored=_chunks_index(spark, sf_dir)))
+    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", rerank=False, stored=chunks_index(spark, sf_dir)))
 
 
 def hybrid_retrieve(spark, sf_dir):
-    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), rerank=False, stored=_chunks_index(spark, sf_dir)))
+    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), rerank=False, stored=chunks_index(spark, sf_dir)))
 
 
 def rerank_topk(spark, sf_dir):
-    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", stored=_chunks_index(spark, sf_dir)))
+    return _shown(retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", stored=chunks_index(spark, sf_dir)))
 
 
 def corrective_retry(spark, sf_dir):
-    return _shown(retrieve.corrective(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", stored=_chunks_index(spark, sf_dir)), "attempt")
+    return _shown(retrieve.corrective(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", stored=chunks_index(spark, sf_dir)), "attempt")
 
 
 def priority_merge(spark, sf_dir):
@@ -255,7 +255,7 @@ def generator_messages(spark, sf_dir):
 
 def result_sources(spark, sf_dir):
     """The sources shown with the best chunks of each question, as JSON."""
-    found = retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", stored=_chunks_index(spark, sf_dir))
+    found = retrieve.retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), strategy="single", stored=chunks_index(spark, sf_dir))
     shown = retrieve.sources(found, chunk_table(spark, sf_dir)).select("qid", F.posexplode("sources").alias("pos", "s"))
     return shown.select("qid", F.col("pos").cast("int").alias("pos"), "s.file_path", "s.start_line", "s.end_line", F.round("s.relevance_score", 6).alias("relevance_score"))
 

@@ -39,6 +39,6 @@ def folder_of(spark: SparkSession, table: str, kind: str, build: Callable[[str],
 
 def stored(spark: SparkSession, table: str, kind: str, id_col: str, postings: Callable[[], DataFrame], docs: Callable[[], DataFrame], vectors: Callable[[], DataFrame]) -> Stored:
     """Sparse index and vectors of a table, from the shared folder."""
-    sparse = folder_of(spark, table, f"{kind}-sparse", lambda path: SparseIndex.of(postings(), docs(), id_col).write(path))
+    sparse = folder_of(spark, table, f"{kind}-sparse", lambda path: SparseIndex.write(path, postings(), docs(), id_col))
     dense = folder_of(spark, table, f"{kind}-dense", lambda path: vectors().write.parquet(path))
     return Stored(SparseIndex.read(spark, sparse, id_col), spark.read.parquet(dense))

@@ -1,5 +1,7 @@
 """Fusion, merges, BM25 and dense search."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,12 +52,28 @@ def test_bm25(spark, tmp_path):
     assert found(spark, docs, "") == [] and found(spark, docs, "unknown") == []
     assert found(spark, corpus(spark, "only one"), "only") == []  # its idf is negative
     index = sparse.SparseIndex.build(docs)
-    index.write(str(tmp_path / "index"))
-    stored = sparse.SparseIndex.read(spark, str(tmp_path / "index"))
+    stored = sparse.SparseIndex.write(str(tmp_path / "index"), sparse.postings_of(docs), docs)
     asked = spark.createDataFrame([(1, "login password password")], "qid long, query string")
     assert stored.search(asked).collect() == index.search(asked).collect() != []
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_recall_of_the_defaults(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    asked = table.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    exact, near = ({(r.qid, r.vec_id) for r in f(asked, table, 20).collect()} for f in (dense.cosine_top, dense.approximate_top))
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_many_queries_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 8)))], "vec_id long, embedding array<double>")
+    asked = table.withColumnRenamed("vec_id", "qid")
+    sent = sorted(map(tuple, dense.cosine_top(asked, table, 5).collect()))
+    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 10)
+    assert sorted(map(tuple, dense.cosine_top(asked, table, 5).collect())) == sent
+
+
 def test_dense(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(400, 16))
