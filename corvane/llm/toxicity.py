@@ -55,6 +55,10 @@ def _alike(rows: np.ndarray) -> np.ndarray:
     return np.lexsort((-near.max(1), near.argmax(1))) if len(rows) else np.zeros(0, np.int64)
 
 
+#: What an index makes of its counts when it reaches a worker.
+EXPANDED = ("postings", "most", "weight")
+
+
 class Index:
     """An inverted index of examples in blocks of BLOCK, with the largest weight of each long list in each block.
 
@@ -66,33 +70,58 @@ class Index:
         self.terms, self.idf, n = terms, idf, len(rows)
         which = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)])
         owner = np.repeat(np.arange(n), [len(t) for t, _ in rows])
-        weight = self.vectors(owner, which, np.concatenate([np.zeros(0), *(c for _, c in rows)]), n)
+        count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in rows)]).astype(np.int32)
+        norm = self.norms(owner, which, count, n)
         held = np.bincount(which, minlength=len(terms))
         long = np.argsort(-held, kind="stable")[: min(LONG, int((held > 0).sum()))]
         self.long = np.full(len(terms), -1, np.int16)
         self.long[long] = np.arange(len(long))
         self.blocks, own = max(1, -(-n // BLOCK)), self.long[which] >= 0
-        dense = np.zeros((self.blocks * BLOCK, len(long)))
-        dense[owner[own], self.long[which[own]]] = weight[own]
-        self.number = _alike(dense[:n])  # the example at each place
-        dense[:n] = dense[self.number]
-        self.postings = dense.reshape(self.blocks, BLOCK, len(long))
-        self.most = self.postings.max(1)
+        self.long_terms, self.norm = long, norm
+        self.long_lists = owner[own].astype(np.int32), self.long[which[own]], count[own]
+        self.number = _alike(self._dense(n))  # the example at each place
         place = np.empty(n, np.int64)
         place[self.number] = np.arange(n)
+        self.norm = norm[self.number]
+        self.long_lists = place[self.long_lists[0]].astype(np.int32), *self.long_lists[1:]
         own = np.flatnonzero(~own)
         own = own[np.argsort(which[own], kind="stable")]
         self.begin = np.searchsorted(which[own], np.arange(len(terms) + 1)).astype(np.int32)
-        self.example, self.weight = place[owner[own]].astype(np.int32), weight[own]
+        self.example, self.count = place[owner[own]].astype(np.int32), count[own]
         self.labels, self.group, self.weights = labels[self.number], group[self.number], weights[self.number]
         self.ids = [ids[i] for i in self.number.tolist()]
         self.share = float(labels.mean()) if n else 0.5
         self.k = max(FEWEST, min(NEIGHBOURS, n // SPREAD))
+        self._expand()
+
+    def _dense(self, size: int) -> np.ndarray:
+        """The long lists' weights, examples x long terms."""
+        dense = np.zeros((size, len(self.long_terms)))
+        place, column, count = self.long_lists
+        dense[place, column] = (1 + np.log(count)) * self.idf[self.long_terms[column]] / self.norm[place]
+        return dense
+
+    def _expand(self) -> None:
+        """Weights and block maxima, from counts and norms."""
+        self.postings = self._dense(self.blocks * BLOCK).reshape(self.blocks, BLOCK, len(self.long_terms))
+        self.most = self.postings.max(1)
+        self.weight = (1 + np.log(self.count)) * self.idf[np.repeat(np.arange(len(self.terms)), np.diff(self.begin))] / self.norm[self.example]
 
-    def vectors(self, owner: np.ndarray, which: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        """What goes to workers: a third of what they make of it."""
+        return {k: x for k, x in self.__dict__.items() if k not in EXPANDED}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._expand()
+
+    def norms(self, owner: np.ndarray, which: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
         weight = (1 + np.log(count)) * self.idf[which]
         norm = np.sqrt(np.bincount(owner, weight * weight, texts))
-        return weight / np.where(norm > 0, norm, 1)[owner]
+        return np.where(norm > 0, norm, 1)
+
+    def vectors(self, owner: np.ndarray, which: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
+        return (1 + np.log(count)) * self.idf[which] / self.norms(owner, which, count, texts)[owner]
 
     def nearest(self, owner: np.ndarray, which: np.ndarray, count: np.ndarray, texts: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, places), texts x k: of each text the nearest examples with a common term, the nearest first; ties by example, place -1 where there are no more.
@@ -184,11 +213,14 @@ def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
                 ["id", "label", "least", "terms", "counts"],
             )
 
-    found = sorted(chosen.mapInArrow(sparse, "id long, label int, least long, terms binary, counts binary").collect(), key=lambda r: (r.id, r.terms))
-    known = np.array([r.label for r in found], np.int64)
+    found = chosen.mapInArrow(sparse, "id long, label int, least long, terms binary, counts binary").toArrow().combine_chunks()  # 2 * per_class rows
+    known, ids, group = (found[x].to_numpy().astype(t) for x, t in (("label", np.int64), ("id", np.int64), ("least", np.uint64)))
+    order = np.lexsort((known, ids))
+    known, ids, group = known[order], ids[order].tolist(), group[order]
     prior = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
-    rows = [(np.frombuffer(r.terms, np.uint64), np.frombuffer(r.counts, "<i4")) for r in found]
-    group = np.array([r.least for r in found], np.int64).astype(np.uint64) if found else np.zeros(0, np.uint64)
+    texts = [[np.frombuffer(x.as_py(), t) for x in found[name].take(pa.array(order))] for name, t in (("terms", np.uint64), ("counts", "<i4"))]
+    rows = list(zip(*texts))
+    del found, texts
     terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for t, _ in rows)]))
     if not len(terms):
         return None, (np.zeros(1), np.full(1, prior)), prior
@@ -212,7 +244,7 @@ def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     own_rows = [(np.searchsorted(terms, rows[i][0]).astype(np.int32), rows[i][1]) for i in kept]
     of_label = np.bincount(known, minlength=2)
     scale = np.array([counts.get(k, 0) / max(1, of_label[k]) for k in (0, 1)])
-    index = Index(terms, idf, own_rows, known[kept], [found[i].id for i in kept], group[kept], scale[known[kept]])
+    index = Index(terms, idf, own_rows, known[kept], [ids[i] for i in kept], group[kept], scale[known[kept]])
     give_back()
     votes = []
     for at in range(0, len(kept), TOGETHER):
@@ -222,7 +254,9 @@ def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     votes = np.concatenate(votes)
     without = np.setdiff1d(np.arange(len(rows)), kept)
     none = ((scale[known[without]] * known[without]).sum() + prior) / (scale[known[without]].sum() + 1)
-    del rows, own_rows, found, held
+    for x in EXPANDED:  # workers make their own
+        delattr(index, x)
+    del rows, own_rows, each, held
     give_back()
     return index, calibrate(votes, index.labels.astype(float), index.weights), float(none)
 
