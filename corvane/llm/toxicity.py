@@ -201,7 +201,19 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
     return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str, text_col: str) -> tuple[Index | None, tuple[np.ndarray, np.ndarray], float]:
+def telling(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, group: np.ndarray, terms: int) -> np.ndarray:
+    """Of each term, how much it tells the examples' labels apart: the square root of its log-likelihood ratio (G2) with the label, over examples that hold it or not; like examples of one label count once."""
+    once = np.unique(np.stack([group.astype(np.uint64), labels.astype(np.uint64)]), axis=1, return_index=True)[1]
+    size = np.bincount(labels[once], minlength=2)
+    found = np.stack([np.bincount(np.concatenate([np.zeros(0, np.int64), *(rows[i][0] for i in once if labels[i] == k)]), minlength=terms) for k in (0, 1)])
+    ratio = np.zeros(terms)
+    for held, texts in ((found, found.sum(0)), (size[:, None] - found, size.sum() - found.sum(0))):
+        for k in (0, 1):
+            ratio += 2 * held[k] * np.log(np.maximum(held[k], 1) / np.maximum(texts * size[k] / max(1, size.sum()), 1e-9))
+    return np.sqrt(np.maximum(ratio, 0))
+
+
+def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str, text_col: str, by_labels: bool = False) -> tuple[Index | None, tuple[np.ndarray, np.ndarray], float]:
     chosen, counts = sample(docs, labels, label, folds, held_out, per_class, id_col, text_col)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +256,8 @@ def _index(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     own_rows = [(np.searchsorted(terms, rows[i][0]).astype(np.int32), rows[i][1]) for i in kept]
     of_label = np.bincount(known, minlength=2)
     scale = np.array([counts.get(k, 0) / max(1, of_label[k]) for k in (0, 1)])
+    if by_labels:
+        idf *= 1 + telling(own_rows, known[kept], group[kept], len(terms))
     index = Index(terms, idf, own_rows, known[kept], [ids[i] for i in kept], group[kept], scale[known[kept]])
     give_back()
     votes = []
@@ -273,9 +287,9 @@ def _known(terms: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return owner, which, count
 
 
-def _scored(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str, text_col: str, carry: list[str], below: float | None = None) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str, text_col: str, carry: list[str], below: float | None = None, by_labels: bool = False) -> DataFrame:
     """The columns ``carry`` as struct _row, held_out, score and evidence; of rows with a score below ``below`` only, if that is given."""
-    index, (places, chances), none = _index(docs, labels, label, folds, held_out, per_class, id_col, text_col)
+    index, (places, chances), none = _index(docs, labels, label, folds, held_out, per_class, id_col, text_col, by_labels)
     held = (fold(id_col, folds) == held_out).alias("_held")
     inside = carry.index(text_col) if text_col in carry else None  # then the text goes to Python in _row only
     text = F.col(text_col).alias("_text") if inside is None else F.octet_length(text_col).alias("_bytes")
@@ -314,5 +328,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is below 0.5, all columns as they are."""
-    return _scored(docs, labels, label, folds, held_out, per_class, id_col, text_col, docs.columns, below=0.5).select("_row.*")
+    """The rows of docs whose score is below 0.5, all columns as they are.
+
+    Scores as of ``score_documents``, but each word's idf is raised by how much the word tells the
+    sampled examples' labels apart (``telling``): of a long text with few telling words, plain
+    cosines see the other words only.
+    """
+    return _scored(docs, labels, label, folds, held_out, per_class, id_col, text_col, docs.columns, below=0.5, by_labels=True).select("_row.*")

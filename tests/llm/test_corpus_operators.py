@@ -246,6 +246,29 @@ def test_toxicity_scores_are_those_of_plain_cosines(spark, marked):
     assert {docs[e].toxic for r in rows_found for e in r.evidence} == {0, 1}
 
 
+def test_few_telling_words_make_a_text_toxic(spark):
+    """Texts of a subject share many words, toxic ones of any subject one of six: plain cosines, as score_documents has them, find the subject."""
+    rude = ["grubworm", "slimebag", "dunderhead", "muckraker", "wretch", "lout"]
+    subject = lambda i: " ".join(chr(97 + i // 5 % 20) * 3 + chr(97 + (i + k) % 16) * 2 for k in range(12))
+    texts = [f"{prose(5000 + i, 150)} {subject(i)} {rude[i // 5 % 6] if i % 5 == 0 else ''} {prose(6000 + i, 50)}" for i in range(600)]
+    rows = spark.createDataFrame([(i, t, int(i % 5 == 0)) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    found = {r.doc_id for r in toxicity.score_documents(rows.select("doc_id", "text"), rows).where("score < 0.5").collect()}
+    kept = {r.doc_id for r in toxicity.without_toxic(rows.select("doc_id", "text"), rows).collect()}
+    clean = {i for i in range(600) if i % 5}
+    assert len(found - clean) > 12 and kept == clean
+
+
+def test_telling_words_by_a_plain_ratio():
+    rows, labels = [(np.array(t), None) for t in ([0, 1], [0, 1], [0, 2], [2], [1], [1])], np.array([1, 1, 1, 0, 0, 0])
+    group = np.array([1, 2, 3, 4, 5, 5], np.uint64)  # the last two are copies
+    got = toxicity.telling(rows, labels, group, 4)
+    for term, (one, none) in enumerate([(3, 0), (2, 1), (1, 1), (0, 0)]):
+        table = np.array([[one, 3 - one], [none, 2 - none]], float)
+        want = table.sum(1, keepdims=True) * table.sum(0) / 5
+        ratio = 2 * sum(x * np.log(x / e) for x, e in zip(table.ravel(), want.ravel()) if x)
+        assert np.isclose(got[term], np.sqrt(ratio))
+
+
 def test_classifier(marked, odd, empty):
     rows = classifier.score_documents(marked.select("doc_id", "text"), marked).join(marked.select("doc_id", "quality"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
