@@ -67,27 +67,41 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes in order, and the ranks of all pieces of 7, 14, 28, ... bytes (equal pieces, equal ranks)."""
+    """Suffixes in order, and the ranks of all pieces of 7, 14, 28, ... bytes (equal pieces, equal ranks; a rank is the first place of its pieces).
+
+    Each round doubles the pieces and sorts again only the suffixes whose piece is that of another one.
+    """
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64), []
     padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])  # 0: beyond the end
     key = np.zeros(n, np.uint64)
     for k in range(7):
-        key = (key << np.uint64(9)) | padded[k : n + k]
-    ranks, size = [], 7
+        key <<= np.uint64(9)
+        key |= padded[k : n + k]
+    del padded
+    order = np.argsort(key).astype(np.int32)  # ties are sorted further, so that no order needs to be kept
+    key, at, rank = key[order], np.arange(n, dtype=np.int32), np.empty(n, np.int32)
+    ranks, size, own = [], 7, order
     while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.ones(n, bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        rank = np.empty(n, np.int32)
-        rank[order] = np.cumsum(new)
-        ranks.append(rank)
-        if new.all() or size >= 2 * n:
+        # own: the suffixes sorted in this round, which are at the places ``at`` now
+        new = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        del key
+        rank[own] = np.maximum.accumulate(np.where(new, at, 0)) + np.int32(1)
+        ranks.append(rank.copy())
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        if alone.all() or size >= 2 * n:
             return order, ranks
-        after = np.zeros(n, np.int32)
-        if size < n:
-            after[:-size] = rank[size:]
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
+        at, own = at[~alone], own[~alone]
+        beyond = own >= n - size
+        key = rank[np.where(beyond, 0, own + size)].astype(np.uint64)
+        key[beyond] = 0
+        key |= rank[own].astype(np.uint64) << np.uint64(32)
+        turn = np.argsort(key)
+        key, own = key[turn], own[turn]
+        order[at] = own
         size *= 2
 
 

@@ -59,6 +59,16 @@ def test_matching_statistics(letters):
         assert index.matching_statistics().tolist() == best and index.restored().tolist() == list(t)
 
 
+def test_only_tied_suffixes_are_sorted_again(monkeypatch):
+    whole, sizes = np.argsort, []
+    text = np.frombuffer((prose(1, 2000) + prose(2, 80) + prose(3, 2000) + prose(2, 80)).encode(), np.uint8)
+    monkeypatch.setattr(longrepeats.np, "argsort", lambda x, *a, **b: sizes.append(len(x)) or whole(x, *a, **b))
+    order, ranks = longrepeats.suffix_array(text)
+    raw = text.tobytes()
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    assert len(sizes) == len(ranks) > 5 and all(a > b for a, b in zip(sizes, sizes[1:])) and sizes[3] < len(raw) / 10
+
+
 def test_no_string_runs_over_the_joint_of_two_spans():
     x, y = prose(1, 40).encode()[:150], prose(2, 40).encode()[:150]
     assert longrepeats.repeated_strings([x + b"\0" + y, b"a" + x, y + b"b"], [1, 1, 1], [102, 1, 1]) == [[], [], []]
