@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import BASE, column, flat, mix, shingles, slices
+from .arrowtext import BASE, MASK, column, flat, give_back, mix, shingles, slices
 from .graph import components
 from .shared import saved
 
@@ -23,8 +23,14 @@ BANDS, ROWS = 28, 4
 CELLS = 1 << 18
 #: Text whose shingles are counted together before they go to the other machines.
 COUNTED = 8 << 20
+#: Ranges of shingles that are summed up one at a time: 2**LEAST_BITS, or as many as leave RANGE bytes of text to one.
+LEAST_BITS, RANGE = 10, 4 << 20
 #: For sampling alone, weights are rounded to powers of e**(1 / STEPS).
 STEPS = 8
+#: Shingles that are sampled together, so that what a step needs stays in a core's cache.
+TOGETHER = 1 << 15
+#: Levels whose draws a worker keeps, 1.8 MB each.
+LEVELS = 64
 #: Draws of the sampling; shingles share them by hash and are told apart by more bits of it.
 DRAWS = 1 << 12
 #: Rarities are from 1 to 2, so a sampled weight is from 1 / 2 to 1 of the true one, before it is rounded; like texts' sampled weights differ by no larger factor than this.
@@ -80,7 +86,6 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rng.gamma(2, 1, shape), np.log(rng.gamma(2, 1, shape)), rng.random(shape)
 
 
-@lru_cache(maxsize=64)
 def _order(level: int) -> np.ndarray:
     """ln a of every sample and draw at this weight, as integers of the same order."""
     r, c, beta = _draws()
@@ -89,6 +94,22 @@ def _order(level: int) -> np.ndarray:
     return np.clip((a + 64) * (1 << 25), 0, (1 << 32) - 1).astype(np.uint32)
 
 
+_met: list[np.ndarray] = []
+
+
+def _ranks(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of distinct levels in a table of _order (samples x levels x draws); a worker holds one, of the levels that it has met, up to LEVELS or those asked for."""
+    known, table = _met or (np.zeros(0, np.int64), np.zeros((BANDS * ROWS, 0, DRAWS), np.uint32))
+    new = np.setdiff1d(level, known)
+    if len(new):
+        if len(known) + len(new) > LEVELS:
+            known, table, new = known[:0], table[:, :0], level
+        known, table = np.concatenate([known, new]), np.concatenate([table, *(_order(int(x))[:, None] for x in new)], axis=1)
+        _met[:] = known, table
+    order = np.argsort(known)
+    return order[np.searchsorted(known, level, sorter=order)], table
+
+
 def signatures(shingle: np.ndarray, level: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
     """Band hashes (texts x BANDS); texts without shingles get zeros."""
     out = np.zeros((texts, BANDS), np.uint64)
@@ -96,16 +117,33 @@ def signatures(shingle: np.ndarray, level: np.ndarray, doc: np.ndarray, texts: i
         return out
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     own, place = np.unique(level, return_inverse=True)
-    base = place.astype(np.int64) * DRAWS
-    tables = [_order(int(x)) for x in own]
+    slot, table = _ranks(own)
+    base = (slot * DRAWS).astype(np.uint64)[place]
+    cuts = range(0, len(shingle), TOGETHER)
+    held = [np.searchsorted(first, [at, at + TOGETHER]) for at in cuts]
+    spare, drawn = np.empty((3, min(TOGETHER, len(shingle))), np.uint64), np.empty(min(TOGETHER, len(shingle)), np.uint32)
     bands = np.zeros((len(first), BANDS), np.uint64)
     for k in range(BANDS * ROWS):
-        x = shingle * np.uint64(pow(BASE, 2 * k + 3, 1 << 64))
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        draw = (x >> np.uint64(52)).astype(np.int64)
-        ranked = np.concatenate([t[k] for t in tables])[base + draw].astype(np.uint64)
-        least = np.minimum.reduceat((ranked << np.uint64(32)) | ((x >> np.uint64(20)) & np.uint64(0xFFFFFFFF)), first)
+        ranks = table[k].reshape(-1)
+        least = np.full(len(first), MASK, np.uint64)
+        for at, (low, high) in zip(cuts, held):
+            part = shingle[at : at + TOGETHER]
+            x, y, ranked = spare[:, : len(part)]
+            np.multiply(part, np.uint64(pow(BASE, 2 * k + 3, 1 << 64)), out=x)
+            np.right_shift(x, np.uint64(29), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, np.uint64(0xBF58476D1CE4E5B9), out=x)
+            np.right_shift(x, np.uint64(52), out=y)
+            np.add(y, base[at : at + TOGETHER], out=y)
+            ranked[:] = np.take(ranks, y.view(np.int64), out=drawn[: len(part)], mode="clip")
+            np.left_shift(ranked, np.uint64(32), out=ranked)
+            np.right_shift(x, np.uint64(20), out=x)
+            np.bitwise_and(x, np.uint64(0xFFFFFFFF), out=x)
+            np.bitwise_or(ranked, x, out=ranked)
+            # the first text may have begun in the part before
+            began = low if low < len(first) and first[low] == at else low - 1
+            starts = np.maximum(first[began:high] - at, 0)
+            np.minimum(least[began:high], np.minimum.reduceat(ranked, starts), out=least[began:high])
         won = least & np.uint64(0xFFFFFFFF)  # the sampled shingle; its step t is left out, as in 0-bit consistent weighted sampling
         bands[:, k // ROWS] = mix(bands[:, k // ROWS] + won * np.uint64(BASE) + np.uint64(k + 1))
     out[doc[first]] = bands
@@ -288,21 +326,32 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return wide.join(kept, (F.col("_key") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
-def shingle_counts(texts: DataFrame) -> DataFrame:
-    """(shingle, held): in how many texts each shingle is that is in more than one; texts has one column.
+def shingle_counts(texts: DataFrame, size: int) -> DataFrame:
+    """(shingle, held): in how many texts each shingle is that is in more than one; texts has one column, of size bytes.
 
-    Most shingles are in one text, so the engine's own sums before the shuffle would spare little
-    and spill: workers sum up COUNTED bytes of text at a time instead.
+    Most shingles are in one text, and a row for each costs more than all else here: workers sum
+    up COUNTED bytes of text at a time and send the shingles of a range as one row, 6 bytes each;
+    those that they found more than once go with their count.
     """
     name = texts.columns[0]
+    bits = max(LEAST_BITS, (size // RANGE).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(48 - bits)
         waits: list[np.ndarray] = []
         size = 0
 
+        def packed(rows: np.ndarray, at: np.ndarray) -> pa.Array:
+            offsets = np.concatenate([[0], at, [len(rows)]]) * rows.shape[1]
+            return pa.Array.from_buffers(pa.binary(), 1 << bits, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
+
         def summed() -> pa.RecordBatch:
             own, held = np.unique(np.concatenate(waits), return_counts=True)
-            return pa.record_batch([pa.array(own.astype(np.int64)), pa.array(held.astype(np.int32))], ["shingle", "held"])
+            once, more = own[held == 1], own[held > 1]
+            counted = np.stack([more, held[held > 1].astype(np.uint64)], axis=1).view(np.uint8)
+            columns = [pa.array(np.arange(1 << bits, dtype=np.int32)), packed(once.view(np.uint8).reshape(-1, 8)[:, :6], np.searchsorted(once, bounds)), packed(counted, np.searchsorted(more, bounds))]
+            whole = pa.record_batch(columns, ["part", "once", "more"])
+            return whole.filter(pc.greater(pc.add(pc.binary_length(whole["once"]), pc.binary_length(whole["more"])), 0))
 
         for part in slices(batches, name, 1 << 20):
             waits.append(weighted(*flat(column(part, name)))[0])
@@ -313,8 +362,37 @@ def shingle_counts(texts: DataFrame) -> DataFrame:
         if waits:
             yield summed()
 
-    dealt = texts.mapInArrow(count, "shingle long, held int").repartition("shingle")
-    return dealt.groupBy("shingle").agg(F.sum("held").alias("held")).where("held > 1")
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by range; the last range of a batch waits for the next one."""
+        now, waits = None, []
+
+        def summed() -> pa.RecordBatch:
+            own, held = (np.concatenate(x) for x in zip(*waits))
+            order = np.argsort(own)
+            own, held = own[order], held[order]
+            first = np.flatnonzero(np.diff(own, prepend=own[:1] ^ np.uint64(1)))
+            held = np.add.reduceat(held, first)
+            return pa.record_batch([pa.array(own[first][held > 1].astype(np.int64)), pa.array(held[held > 1])], ["shingle", "held"])
+
+        for batch in batches:
+            parts = column(batch, "part").to_numpy()
+            cuts = np.flatnonzero(np.diff(parts, prepend=-1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(parts)]):
+                if parts[a] != now and waits:
+                    yield summed()
+                    waits = []
+                now = parts[a]
+                once, more = (flat(column(batch, c).slice(a, b - a))[0] for c in ("once", "more"))
+                wide = np.zeros((len(once) // 6, 8), np.uint8)
+                wide[:, :6] = once.reshape(-1, 6)
+                counted = np.frombuffer(more.tobytes(), np.uint64).reshape(-1, 2)
+                waits.append((np.concatenate([wide.reshape(-1).view(np.uint64), counted[:, 0]]), np.concatenate([np.ones(len(wide), np.int64), counted[:, 1].astype(np.int64)])))
+        if waits:
+            yield summed()
+        give_back()
+
+    dealt = texts.mapInArrow(count, "part int, once binary, more binary")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(total, "shingle long, held long")
 
 
 def weighed(chosen: DataFrame, counts: DataFrame, n: int) -> DataFrame:
@@ -354,7 +432,8 @@ def weighed(chosen: DataFrame, counts: DataFrame, n: int) -> DataFrame:
 
 def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(_id, _key) of all rows; and per text _key, its class's first row (struct of _id and _key) and its number of links."""
-    counts, n = saved(shingle_counts(keyed.select("_text"))), keyed.count()
+    n, size = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    counts = saved(shingle_counts(keyed.select("_text"), size))
     rare = rarity(at_most(frequencies(counts)), n)
     id_type = keyed.schema["_id"].dataType.simpleString()
 

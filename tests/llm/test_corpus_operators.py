@@ -3,12 +3,15 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from corvane.llm import classifier, longrepeats, neardup, toxicity
+from corvane.llm.arrowtext import BASE, flat, mix
 from corvane.llm.graph import components
 
 from .conftest import prose
@@ -160,6 +163,65 @@ def test_near_duplicates_weigh_by_true_frequencies(spark):
     assert rows.where("n_links > 0 or class_id <> doc_id").count() == 0
 
 
+def shuffled_rows(spark, run) -> int:
+    """Rows that the stages of run's jobs write for others."""
+    sc, group = spark.sparkContext, f"group{random.random()}"
+    sc.setJobGroup(group, "")
+    try:
+        run()
+    finally:
+        sc._jsc.clearJobGroup()
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+@pytest.mark.parametrize("least_bits, size", [(5, 0), (1, 100 << 20)])
+def test_shingles_are_counted_in_ranges(spark, monkeypatch, least_bits, size):
+    monkeypatch.setattr(neardup, "LEAST_BITS", least_bits)
+    docs = [prose(i, 400) for i in range(60)] * 3 + [prose(100, 300) + f" end{i}" for i in range(40)] + [prose(i, 200) for i in range(20)] + ["", " \n", None, "two words"]
+    texts = spark.createDataFrame([(t,) for t in docs], "text string").repartition(3)  # three workers' sums
+    held = collections.Counter(neardup.weighted(*flat(pa.array(docs)))[0].tolist())
+    rows = []
+    moved = shuffled_rows(spark, lambda: rows.extend(neardup.shingle_counts(texts, size).collect()))
+    assert len(rows) == len({r.shingle for r in rows}) and {r.shingle: r.held for r in rows} == {x: n for x, n in held.items() if n > 1}
+    assert moved < len(held) / 10  # not a row for each
+    assert neardup.shingle_counts(texts.limit(0), 0).count() == 0
+
+
+def test_signatures_like_plain_sampling(monkeypatch):
+    monkeypatch.setattr(neardup, "TOGETHER", 64)  # texts begin and end within parts, at their bounds, and run over several
+    monkeypatch.setattr(neardup, "LEVELS", 3)
+    sizes, rng = [1, 63, 64, 0, 200, 1, 0, 127, 30], np.random.default_rng(3)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    order = {v: neardup._order(v) for v in range(9)}
+    shingle = np.concatenate([np.sort(rng.integers(0, 1 << 48, n, dtype=np.uint64)) for n in sizes])
+    for highest in (1, 2, 9, 2):  # more levels than a worker keeps, and fewer again
+        level = rng.integers(0, highest, len(doc))
+        found = neardup.signatures(shingle, level, doc, len(sizes))
+        for d, n in enumerate(sizes):
+            bands = np.zeros(neardup.BANDS, np.uint64)
+            for k in range(neardup.BANDS * neardup.ROWS if n else 0):
+                x = shingle[doc == d] * np.uint64(pow(BASE, 2 * k + 3, 1 << 64))
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                rank = [int(order[v][k, int(z) >> 52]) << 32 | int(z) >> 20 & 0xFFFFFFFF for v, z in zip(level[doc == d].tolist(), x)]
+                at = slice(k // neardup.ROWS, k // neardup.ROWS + 1)
+                bands[at] = mix(bands[at] + np.array([min(rank) & 0xFFFFFFFF], np.uint64) * np.uint64(BASE) + np.uint64(k + 1))
+            assert found[d].tolist() == bands.tolist()
+
+
+def test_sampling_holds_little_besides_the_shingles():
+    """Levels and places of levels are as long as a slice, working arrays are not."""
+    shingle, level, doc = np.arange(1 << 20, dtype=np.uint64), np.zeros(1 << 20, np.int64), np.arange(1 << 20) >> 10
+    neardup.signatures(shingle[:10], level[:10], level[:10], 1)
+    tracemalloc.start()
+    neardup.signatures(shingle, level, doc, 1 << 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * shingle.nbytes
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30) if i != 14] + [(40, 41), (41, 42), (42, 40)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
