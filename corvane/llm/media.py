@@ -176,8 +176,8 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(put, f"`{id_col}` {id_type}, n_bytes long, media binary")
 
 
-def index_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per container: codec, handler, timescale, duration, n_samples, keyframes (start and length of each sync sample's bytes), digests of the samples' bytes and of the container, and problem. Nothing is decoded; null containers give null features, damaged ones null features of their tracks and a reason (problem)."""
+def index_media(stored: DataFrame, id_col: str = "doc_id", tail: int = SAMPLE) -> DataFrame:
+    """Per container: codec, handler, timescale, duration, n_samples, keyframes (start and length of each sync sample's bytes), digests of the samples' bytes (tail_crc32: of the last ``tail`` ones) and of the container, and problem. Nothing is decoded; null containers give null features, damaged ones null features of their tracks and a reason (problem)."""
     id_type = stored.schema[id_col].dataType.simpleString()
 
     def look(data: bytes) -> tuple:
@@ -195,7 +195,7 @@ def index_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
         payload = spans[0] if len(spans) == 1 else b"".join(spans)
         sync = track["sync"]
         keys = [{"start": int(a), "length": int(b)} for a, b in zip(at[sync], size[sync])]
-        return track["codec"], track.get("handler"), track["timescale"], track["duration"], len(at), keys, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SAMPLE:]), len(data), hashlib.sha256(data).hexdigest(), None
+        return track["codec"], track.get("handler"), track["timescale"], track["duration"], len(at), keys, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), len(data), hashlib.sha256(data).hexdigest(), None
 
     names = ["codec", "handler", "timescale", "duration", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "problem"]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -208,12 +208,12 @@ def index_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return stored.mapInArrow(read, f"`{id_col}` {id_type}, n_bytes long, codec string, handler string, timescale long, duration long, n_samples long, keyframes array<struct<start:long,length:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, problem string")
 
 
-def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: int = SAMPLE) -> DataFrame:
     """Stores every text as media in the shared folder, reads the table back and indexes it.
 
     One row per input row, also for null, empty and repeated ids and texts; null texts are empty
-    ones. feature: JSON of codec, handler, timescale, duration, samples and keyframe ranges.
+    ones. tail_crc32 is of the payload's last ``tail`` bytes. feature: JSON of codec, handler, timescale, duration, samples and keyframe ranges.
     """
-    seen = index_media(saved(store_media(docs, id_col, text_col)), id_col)
+    seen = index_media(saved(store_media(docs, id_col, text_col)), id_col, tail)
     feature = F.to_json(F.struct("codec", "handler", "timescale", "duration", "n_samples", F.transform("keyframes", lambda k: F.array(k["start"], k["length"])).alias("keyframes")))
     return seen.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

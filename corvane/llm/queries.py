@@ -22,7 +22,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(documents(spark, sf_dir))
+    return media.media_features(documents(spark, sf_dir), tail=32)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

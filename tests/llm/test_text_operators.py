@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corvane.llm import bpe, media, packing, planes, quality_rules, sharding
+from corvane.llm import bpe, media, packing, planes, quality_rules, queries, sharding
 from corvane.llm.tokens import library_encoder
 
 from .conftest import prose
@@ -60,6 +60,18 @@ def test_media(odd, empty, texts):
     assert media.media_features(empty).count() == 0
 
 
+def test_media_query(spark, odd, texts, tmp_path):
+    """The query's tail is the payload's last 32 bytes."""
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op2_media_columns(spark, str(tmp_path)).collect()
+    want = []
+    for d, t in texts:
+        raw = t.encode()
+        padded = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        want.append((d, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:])))
+    assert sorted(map(key, want)) == sorted(key((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32)) for r in rows)
+
+
 def test_media_boxes():
     data = media.write_container(bytes(range(256)) * 9 * 9)
     kinds = [b"/".join(p) for p, _, _ in media.walk(data)]
