@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ..operators.batches import give_back
+
 #: Bytes that separate words: space and the ASCII controls 9 to 13.
 SEPARATES = np.zeros(256, bool)
 SEPARATES[[32, 9, 10, 11, 12, 13]] = True
@@ -42,22 +43,6 @@ def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-@lru_cache(maxsize=1)
-def _c_library() -> ctypes.CDLL | None:
-    try:
-        own = ctypes.CDLL(None)
-        return own if hasattr(own, "malloc_trim") else None
-    except OSError:
-        return None
-
-
-def give_back() -> None:
-    """Hands memory that this worker has freed back to the system; workers live on between tasks."""
-    pa.default_memory_pool().release_unused()
-    if _c_library() is not None:
-        _c_library().malloc_trim(0)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in runs of about ``most`` bytes of text; a longer text is a run of its own. text: the column of texts, or of their sizes."""
     for batch in batches:

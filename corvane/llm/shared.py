@@ -7,19 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept, shared_dir
-
-#: Bytes of a batch of rows that Python workers get at most.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit on the size of batches for Python, if it is above BATCH_BYTES: texts are long, and workers make arrays several times as large as their batch."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
-    if held < 0 or held > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
+from ..sources.shared import kept, shared_dir, small_batches
 
 def scratch_dir(spark: SparkSession) -> str:
     """The name of a new folder in the folder that the cluster's machines share."""

@@ -8,7 +8,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.retrieve import Stored
 from ..operators.sparse import SparseIndex
 from ..sources.shared import shared_dir
 
@@ -37,8 +36,11 @@ def folder_of(spark: SparkSession, table: str, kind: str, build: Callable[[str],
     return path
 
 
-def stored(spark: SparkSession, table: str, kind: str, id_col: str, postings: Callable[[], DataFrame], docs: Callable[[], DataFrame], vectors: Callable[[], DataFrame]) -> Stored:
-    """Sparse index and vectors of a table, from the shared folder."""
-    sparse = folder_of(spark, table, f"{kind}-sparse", lambda path: SparseIndex.write(path, postings(), docs(), id_col))
-    dense = folder_of(spark, table, f"{kind}-dense", lambda path: vectors().write.parquet(path))
-    return Stored(SparseIndex.read(spark, sparse, id_col), spark.read.parquet(dense))
+def stored_sparse(spark: SparkSession, table: str, kind: str, id_col: str, postings: Callable[[], DataFrame], docs: Callable[[], DataFrame]) -> SparseIndex:
+    """Sparse index of a table, from the shared folder."""
+    return SparseIndex.read(spark, folder_of(spark, table, f"{kind}-sparse", lambda path: SparseIndex.write(path, postings(), docs(), id_col)), id_col)
+
+
+def stored_vectors(spark: SparkSession, table: str, kind: str, vectors: Callable[[], DataFrame]) -> DataFrame:
+    """Vectors of a table, from the shared folder."""
+    return spark.read.parquet(folder_of(spark, table, f"{kind}-dense", lambda path: vectors().write.parquet(path)))

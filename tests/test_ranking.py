@@ -65,6 +65,42 @@ def test_recall_of_the_defaults(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_documents_are_scored_where_they_lie(spark, tmp_path):
+    """A document's postings are one row, made and read without a shuffle; of a task k rows a query go on."""
+    docs = corpus(spark, *(f"common w{i % 7} " + "word " * (i % 5) for i in range(300))).repartition(2)
+    plan = sparse.counts_of(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    index = sparse.SparseIndex.write(str(tmp_path / "index"), sparse.counts_of(docs), docs)
+    assert index.postings.count() == 300
+    asked = spark.createDataFrame([(1, "word w3"), (2, "w1 word w1")], "qid long, query string")
+    rows = asked.select("qid", F.explode(F.split("query", " ")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
+    assert index._scored(rows.collect(), rows.schema, 5, "qid").count() <= 5 * 2 * index.postings.rdd.getNumPartitions()
+
+
+def test_repeated_ids(spark, monkeypatch):
+    """Both layouts of postings, both ways of search and the SQL agree, also where ids repeat or are null."""
+    import duckdb
+
+    from corvane.plans.oracles import ORACLES
+
+    rows = [(i % 40 if i % 9 else None, f"w{i % 7} w{i % 11} " + "word " * (i % 3) + "x" * (i % 2)) for i in range(120)] + [(7, None), (8, ""), (500, "w1 w2"), (501, "w2 w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w2"), (2, "word xx w3"), (3, "unknown"), (4, "")], "qid long, query string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [tuple(r) for r in asked.collect()])
+    plain = lambda own: sorted((tuple(r) for r in own), key=repr)
+    want = plain(con.sql(f"SELECT qid, doc_id, score, rank FROM ({ORACLES['bm25_topk']})").fetchall())
+    shown = lambda index: plain(index.search(asked).select("qid", "doc_id", "score", "rank").collect())
+    whole, single = sparse.SparseIndex.build(docs), sparse.SparseIndex.of(sparse.postings_of(docs), docs)
+    assert want and shown(whole) == want and shown(single) == want
+    assert plain(sparse.bm25(docs, asked).select("qid", "doc_id", "score", "rank").collect()) == want
+    monkeypatch.setattr(sparse, "BROADCAST_ROWS", 1)
+    assert shown(whole) == want
+
+
 def test_many_queries_are_dealt(spark, monkeypatch):
     rng = np.random.default_rng(6)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 8)))], "vec_id long, embedding array<double>")
