@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import small_batches
+from .batches import Best, give_back
 from .ranking import top
 
-#: Vectors in a block of the searched table, and of the queries.
-BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors in a block of the searched table, and of the queries; columns of a product of both.
+BLOCK, QUERY_BLOCK, COLUMNS = 8192, 1024, 2048
 #: Queries that are sent to all tasks at most, and groups of the vectors' blocks that more are dealt to.
 BROADCAST_QUERIES, GROUPS = 20_000, 64
 
@@ -41,11 +43,12 @@ def _blocks(df: DataFrame, ident: str, vector: str, size: int, prefix: str) -> D
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 20, qid: str = "qid", ident: str = "vec_id", vector: str = "embedding", query_vector: str | None = None) -> DataFrame:
     """(qid, ident, score, rank): the k nearest vectors of each query, all vectors compared, block by block.
 
-    Each block of queries meets each block of vectors in one matrix product, of which k rows a
-    query go on. Scores are rounded to 6 places, ties go by ident. Null vectors are left out.
+    Each block of queries meets each block of vectors in matrix products; k rows a query go on
+    from a task. Scores are rounded to 6 places, ties go by ident. Null vectors are left out.
     The queries' blocks are sent to all tasks if they are counted to be few; else both sides'
     blocks are dealt out, each of the queries' to every group of the vectors'.
     """
+    small_batches(vectors.sparkSession)
     asked = _blocks(queries, qid, query_vector or vector, QUERY_BLOCK, "q")
     held = _blocks(vectors, ident, vector, BLOCK, "v")
     if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
@@ -55,18 +58,19 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 20, qid: str = "
         met = held.withColumn("_g", F.pmod(F.xxhash64("v_ids"), F.lit(GROUPS).cast("long"))).join(asked.withColumn("_g", groups), "_g")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[tuple[int, ...], bytes], Best] = {}
         for batch in batches:
-            for row in batch.select(["q_ids", "q_rows", "v_ids", "v_rows"]).to_pylist():
+            for n in range(len(batch)):
+                (row,) = batch.slice(n, 1).select(["q_ids", "q_rows", "v_ids", "v_rows"]).to_pylist()
                 a, b = (np.frombuffer(row[f"{x}_rows"]).reshape(len(row[f"{x}_ids"]), -1) for x in "qv")
-                ids = np.array(row["v_ids"])
-                scores = np.round(a @ b.T, 6)
-                out_q, out_v, out_s = [], [], []
-                for i, q in enumerate(row["q_ids"]):
-                    own = np.lexsort((ids, -scores[i]))[:k]
-                    out_q += [q] * len(own)
-                    out_v += ids[own].tolist()
-                    out_s += scores[i][own].tolist()
-                yield pa.record_batch([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], [qid, ident, "score"])
+                own, ids = best.setdefault((tuple(row["q_ids"]), row["q_rows"]), Best(len(a), k)), pa.array(row["v_ids"], pa.int64())
+                for first in range(0, len(b), COLUMNS):
+                    own.add(0, a @ b[first : first + COLUMNS].T, ids.slice(first, COLUMNS))
+        for (q_ids, _), own in best.items():
+            if own.held is not None:
+                q, scores, ids = own.held
+                yield pa.record_batch([pa.array(q_ids, pa.int64()).take(pa.array(q)), ids, pa.array(np.round(scores, 6))], [qid, ident, "score"])
+        give_back()
 
     return top(met.mapInArrow(search, f"`{qid}` long, `{ident}` long, score double"), [qid], [F.col("score").desc(), F.col(ident)], k)
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import small_batches
+from .batches import runs
 
 DIMENSIONS = 64
 
@@ -30,15 +32,16 @@ def embed(df: DataFrame, id_col: str, text: Column, out: str = "vector") -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, 1):
             terms = batch.column(1)
             coded = terms.flatten().dictionary_encode()
             places = np.array([_place(x) for x in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)[coded.indices.to_numpy()]
-            owner = np.repeat(np.arange(len(batch)), np.diff(terms.offsets.to_numpy()))
+            owner = np.repeat(np.arange(len(batch)), np.diff(terms.offsets.to_numpy()[: len(batch) + 1]))
             rows = np.bincount(owner * DIMENSIONS + places[:, 0], places[:, 1], len(batch) * DIMENSIONS)
             ends = pa.array(np.arange(len(batch) + 1) * DIMENSIONS, pa.int32())
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(rows))], [id_col, out])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias(id_col), tokens(text)).mapInArrow(run, f"`{id_col}` long, `{out}` array<double>")
 
 
