@@ -6,17 +6,21 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import context_prefix, lines, unified_newlines
 from ..schemas import CHUNK_COLUMNS
+from ..sources.shared import small_batches
+from .batches import runs
 
 # Longest chunk, window and overlap in lines; rows that a node has to span.
 MOST_LINES, WINDOW, OVERLAP, LEAST_SPAN = 80, 60, 15, 2
 # Fixed value: the name of a file that is one chunk.
 MODULE = "module"
+#: Bytes of source and files that a worker chunks at once; a longer file is chunked alone.
+RUN_BYTES, RUN_FILES = 1 << 20, 256
 
 
 def window_split(chunks: DataFrame, most: int = MOST_LINES, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
@@ -167,13 +171,17 @@ def chunk_source(path: str, source: str, language: str) -> list[tuple]:
 def chunk_files(files: DataFrame) -> DataFrame:
     """Chunks of files (file_path, source, language): structure, fallback and windows, columns CHUNK_COLUMNS."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [r for f in frame.itertuples(index=False) for r in chunk_source(f.file_path, f.source, f.language)]
-            yield pd.DataFrame(rows, columns=["file_path", "language", "chunk_type", "name", "parent", "start_line", "end_line", "content"])
+    names = ["file_path", "language", "chunk_type", "name", "parent", "start_line", "end_line", "content"]
+    kinds = [pa.int32() if n.endswith("_line") else pa.string() for n in names]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, 1, RUN_BYTES, RUN_FILES):
+            rows = [r for f in part.to_pylist() for r in chunk_source(f["file_path"], f["source"], f["language"])]
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+    small_batches(files.sparkSession)
     usable = files.where(F.col("source").isNotNull() & F.col("language").isNotNull()).select("file_path", unified_newlines(F.col("source")).alias("source"), "language")
-    found = usable.mapInPandas(run, "file_path string, language string, chunk_type string, name string, parent string, start_line int, end_line int, content string")
+    found = usable.mapInArrow(run, "file_path string, language string, chunk_type string, name string, parent string, start_line int, end_line int, content string")
     shown = F.when(F.col("chunk_type") != "module", F.col("name"))  # a module's prefix is its path alone
     named = found.withColumn("context_prefix", context_prefix(F.col("file_path"), F.col("parent"), shown))
     return window_split(named.select(*CHUNK_COLUMNS))

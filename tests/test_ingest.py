@@ -13,6 +13,21 @@ PYTHON = "import os\n\nclass A:\n    def f(self):\n        x = 1\n        return
 SCRIPT = "export class B {\n  run(a) {\n    if (a) {\n      return '}';\n    }\n  }\n}\nconst f = (x) => {\n  return x;\n};\n"
 
 
+def test_files_are_chunked_in_small_runs(spark):
+    """A worker takes a few files at a time from batches of 4 MB at most; the chunks are those of each file alone."""
+    from corvane.operators import batches
+
+    batch = batches.pa.record_batch([["a"] * 700, ["x" * 5000] * 699 + ["y" * 3_000_000]], ["file_path", "source"])
+    parts = list(batches.runs([batch], 1, chunk.RUN_BYTES, chunk.RUN_FILES))
+    assert sum(map(len, parts)) == 700 and max(map(len, parts)) <= chunk.RUN_FILES and len(parts[-1]) == 1
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    files = spark.createDataFrame([(f"{i}.py", PYTHON, "python") for i in range(600)] + [(None, PYTHON, "python"), ("x.py", None, "python")], "file_path string, source string, language string").coalesce(1)
+    found = chunk.chunk_files(files)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+    rows = found.groupBy("file_path").count().collect()
+    assert len(rows) == 601 and {r["count"] for r in rows} == {3}
+
+
 def test_chunk_python():
     rows = chunk.chunk_source("a.py", PYTHON, "python")
     assert [(r[2], r[3], r[4], r[5], r[6]) for r in rows] == [("class", "A", None, 2, 7), ("function", "f", "A", 3, 5), ("function", "h", None, 10, 14)]
